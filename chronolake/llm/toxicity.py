@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's logit is the sum of its different words' hashed weights and an offset;
-the document's probability is the noisy-or of its sentences'. Only document labels are needed: their log-loss is
+A document is a bag of sentences. A sentence's logit is an offset and the sum of the hashed weights of its different
+words and of their first four and five bytes, which carry what a word was not seen with in fitting; the document's probability is the noisy-or of its sentences'. Only document labels are needed: their log-loss is
 carried back through the noisy-or to the sentences, whose scores then locate what offends.
 """
 
@@ -29,16 +29,18 @@ _EDGE = b".,;:!?\"'()[]{}<>*%$&#|-_"
 
 
 def word_code(word: bytes) -> int:
-    """Twice the place of the bare word, plus one if a sentence ends with it."""
-    ends = word.rstrip(b"\"')]}").endswith((b".", b"!", b"?"))
-    return (xxhash.xxh64_intdigest(word.strip(_EDGE)) & ((1 << BITS) - 1)) << 1 | ends
+    """One bit: whether a sentence ends with the word; above it the places of the bare word and of its two heads."""
+    ends, bare = word.rstrip(b"\"')]}").endswith((b".", b"!", b"?")), word.strip(_EDGE)
+    places = [xxhash.xxh64_intdigest(part, seed) & ((1 << BITS) - 1) for seed, part in enumerate((bare, bare[:4], bare[:5]))]
+    return ((places[2] << BITS | places[1]) << BITS | places[0]) << 1 | ends
 
 
 def sentences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sentence number, place) of each different word of each sentence of a text."""
+    """(sentence number, place) of each different word and head of each sentence of a text."""
     ends = codes & 1
     number = np.cumsum(ends) - ends
-    both = np.unique((number << BITS) | (codes >> 1))
+    places = [(codes >> at) & ((1 << BITS) - 1) for at in (1, 1 + BITS, 1 + 2 * BITS)]
+    both = np.unique(np.concatenate([(number << BITS) | p for p in places]))
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
