@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,3 +97,13 @@ def blocks_of_links(mask: np.ndarray) -> np.ndarray:
         if (new_r == label_r).all() and (new_c == label_c).all():
             return np.concatenate([new_r, new_c])
         label_r, label_c = new_r, new_c
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared checkpoint folder and read again: what later steps read more than once."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

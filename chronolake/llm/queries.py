@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, toxicity
+from . import packing, quality, simhash, toxicity
 from .common import fold_of, table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the packed sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; labels of the fold crc32(doc_id) mod 4 = 2 are never learnt from."""
     docs, fold = table(spark, sf_dir, "documents"), fold_of("doc_id", 4)
@@ -31,5 +42,10 @@ def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {"op4_quality": op4_quality, "op6_simhash_golay": op6_simhash_golay, "op7_toxicity_mil": op7_toxicity_mil}
+QUERIES = {
+    "op3_retrieval_packing": op3_retrieval_packing,
+    "op4_quality": op4_quality,
+    "op6_simhash_golay": op6_simhash_golay,
+    "op7_toxicity_mil": op7_toxicity_mil,
+}
 ORACLES: dict[str, str] = {}
