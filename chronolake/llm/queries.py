@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, toxicity
+from . import packing, quality, simhash, suffixes, toxicity
 from .common import fold_of, table
 
 
@@ -42,10 +42,17 @@ def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings that documents with smaller ids have."""
+    found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.octet_length("text").cast("long").alias("n_bytes"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_retrieval_packing": op3_retrieval_packing,
     "op4_quality": op4_quality,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_toxicity_mil": op7_toxicity_mil,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
