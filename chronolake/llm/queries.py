@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, suffixes, toxicity
+from . import language_model, packing, quality, simhash, suffixes, toxicity
 from .common import fold_of, table
 
 
@@ -15,6 +15,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_hpyp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability; the fold crc32(doc_id) mod 7 = 2 is never learnt from."""
+    fold = fold_of("doc_id", 7)
+    found = language_model.scores(table(spark, sf_dir, "documents"), fold != 2).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
@@ -49,6 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_hpyp_scores": op2_hpyp_scores,
     "op3_retrieval_packing": op3_retrieval_packing,
     "op4_quality": op4_quality,
     "op6_simhash_golay": op6_simhash_golay,
