@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, packing, quality, simhash, suffixes, toxicity
+from . import embeddings, hamming, language_model, packing, quality, simhash, suffixes, toxicity
 from .common import fold_of, table
 
 
@@ -49,6 +49,27 @@ def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest sign codes of every vector whose id is divisible by 20."""
+    found = hamming.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+OP8_SQL = """
+with codes as (select vec_id, embedding from embeddings where vec_id is not null and embedding is not null),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, 65), i -> ((q.embedding[i] > 0) <> (c.embedding[i] > 0))::int))::int as distance
+  from codes q join codes c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
+select query_id, rank::int as rank, vec_id, distance
+from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from pairs) where rank <= 10
+"""
+
+
+def op9_embedding_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of near-duplicate vectors of one label."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the strings that documents with smaller ids have."""
     found = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
@@ -61,6 +82,8 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_toxicity_mil": op7_toxicity_mil,
+    "op8_hamming_topk": op8_hamming_topk,
+    "op9_embedding_cells": op9_embedding_cells,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_hamming_topk": OP8_SQL}
