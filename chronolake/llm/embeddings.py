@@ -79,7 +79,7 @@ def linked_rows(cell: int, a: dict, b: dict | None, cosine: float) -> tuple[np.n
     links = np.concatenate([mask @ other["copies"].astype(np.float64), mask.T @ a["copies"].astype(np.float64)]).astype(np.int64)
     nodes = np.concatenate([a["node"], other["node"]])
     if b is None:  # rows and columns are the same vectors
-        group = blocks_of_links(mask | mask.T)[: len(a["node"])]
+        group = blocks_of_links(mask | mask.T | np.eye(len(mask), dtype=bool))[: len(a["node"])]
         links, nodes = links[: len(group)] + links[len(group) :], a["node"]
     else:
         group = blocks_of_links(mask)

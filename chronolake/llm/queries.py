@@ -58,7 +58,7 @@ def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 with codes as (select vec_id, embedding from embeddings where vec_id is not null and embedding is not null),
 pairs as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, 65), i -> ((q.embedding[i] > 0) <> (c.embedding[i] > 0))::int))::int as distance
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, 65), lambda i: ((q.embedding[i] > 0) <> (c.embedding[i] > 0))::int))::int as distance
   from codes q join codes c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0)
 select query_id, rank::int as rank, vec_id, distance
 from (select *, row_number() over (partition by query_id order by distance, vec_id) as rank from pairs) where rank <= 10
