@@ -31,61 +31,106 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-@lru_cache(2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Words that an executor's process keeps the ids of; the table is emptied when it holds more.
+KNOWN_WORDS = 1_000_000
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Below this, lower case goes by single characters and no character is changed by normal form C.
+_PLAIN = "\u0250"
+
 
-    return Tokenizer.from_file(path), {}
+class Words:
+    """Ids of the stretches between white space, each encoded once, as little-endian 16-bit integers.
 
+    This tokenizer's pieces never reach over ASCII white space, and never over the border of letters and what follows.
+    So plain letters with punctuation after them are encoded as two known pieces, by the tokenizer's merges alone, which
+    is much faster; anything else goes through the whole tokenizer.
+    """
 
-def encode(texts: list[bytes], path: str, most: int = 300_000) -> list[bytes]:
-    """The ids of each text, without special tokens, as little-endian 16-bit integers.
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _merge(self, pieces: list[str]) -> None:
+        groups = [pieces[at : at + 1000] for at in range(0, len(pieces), 1000)]
+        for group, coded in zip(groups, self.merges.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids, ends = np.array(coded.ids, "<u2").tobytes(), (2 * np.cumsum(np.bincount(coded.word_ids, minlength=len(group)))).tolist()
+            self.pieces.update((w, ids[a:b]) for w, a, b in zip(group, [0, *ends], ends, strict=False))
+
+    def learn(self, fresh: list[bytes]) -> None:
+        plain, other = [], []
+        for raw in fresh:
+            text = raw.decode("utf-8", "replace")
+            if max(text) < _PLAIN and "\u0130" not in text:
+                low = text.lower()
+                core = low.rstrip(_PUNCTUATION)
+                if not core or core.isalpha():
+                    plain.append((raw, core, low[len(core) :]))
+                    continue
+            other.append((raw, text))
+        self._merge(list({p for _, core, tail in plain for p in (core, tail)}.difference(self.pieces)))
+        self.known.update((raw, self.pieces[core] + self.pieces[tail]) for raw, core, tail in plain)
+        for at in range(0, len(other), 10_000):
+            part = other[at : at + 10_000]
+            coded = self.whole.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            self.known.update((raw, np.array(c.ids, "<u2").tobytes()) for (raw, _), c in zip(part, coded, strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > KNOWN_WORDS:
+            self.known.clear()
+            self.pieces = {"": b""}
+        words = [t.split() for t in texts]
+        if fresh := list(set().union(*words).difference(self.known)):
+            self.learn(fresh)
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
-    This tokenizer's pieces never reach over ASCII white space, so each stretch between is encoded once and kept, in a
-    table that is emptied when it holds more than most entries.
+
+@lru_cache(2)
+def words_of(path: str) -> Words:
+    return Words(path)
+
+
+def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, size: int = 1 << 16) -> DataFrame:
+    """(doc_id, doc_tokens, ids): each document's ids with end_id after them, as 16-bit integers in a binary.
+
+    Each task adds a row with doc_tokens -1 whose ids are its counts (64-bit): for each of size ids the documents that
+    have it, then all documents, then all ids.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > most:
-        known.clear()
-    words = [t.split() for t in texts]
-    fresh = list(set().union(*words).difference(known))
-    for at in range(0, len(fresh), 10_000):
-        part = fresh[at : at + 10_000]
-        coded = tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-        known.update((w, np.array(c.ids, "<u2").tobytes()) for w, c in zip(part, coded, strict=True))
-    return [b"".join(map(known.__getitem__, w)) for w in words]
-
-
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, doc_tokens, ids): each document's ids with end_id after them, as 16-bit integers in a binary."""
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen, there = ["doc_id", "doc_tokens", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), bool)
         for batch in slices(batches, 1000):
             keys, texts = id_and_bytes(batch)
-            ids = [c + end for c in encode(texts, path)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array([len(c) // 2 for c in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "doc_tokens", "ids"])
+            ids = [c + end for c in words_of(path).encode(texts)]
+            lengths = np.array([len(c) // 2 for c in ids], np.int64)
+            for low in range(0, len(ids), 64):
+                there[:] = False
+                there[np.repeat(np.arange(len(lengths[low : low + 64])), lengths[low : low + 64]), np.frombuffer(b"".join(ids[low : low + 64]), "<u2")] = True
+                seen[:size] += there.sum(0)
+            seen[size:] += len(ids), lengths.sum()
+            yield pa.RecordBatch.from_arrays([keys, pa.array(lengths), pa.array(ids, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([seen.tobytes()], pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, doc_tokens long, ids binary")
 
 
-def document_frequencies(tokens: DataFrame, size: int) -> tuple[np.ndarray, int, float]:
-    """(documents with each token, documents, mean tokens); size is the vocabulary's, so what comes back is bounded."""
+def document_frequencies(tokens: DataFrame, size: int = 1 << 16) -> tuple[np.ndarray, int, float]:
+    """(documents with each id, documents, mean number of ids), from the tasks' counts; size bounds what comes back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size + 2, np.int64)
-        for batch in slices(batches, 1000):
-            texts = [np.frombuffer(x, "<u2") for x in batch.column(0).to_pylist()]
-            lengths = np.array([len(x) for x in texts])
-            both = np.unique((np.repeat(np.arange(len(texts), dtype=np.int32), lengths) << 16) | np.concatenate(texts).astype(np.int32))
-            seen[:size] += np.bincount(both & 0xFFFF, minlength=size)
-            seen[size] += len(texts)
-            seen[size + 1] += lengths.sum()
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                seen += np.frombuffer(raw, np.int64)
         at = np.nonzero(seen)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.where("doc_tokens < 0").select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(size + 2, np.int64)
     out[rows.token.to_numpy(np.int64)] = rows.n.to_numpy(np.int64)
     n = int(out[size])
@@ -98,9 +143,9 @@ class Shard:
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
         n = len(texts)
         self.lengths = np.array([len(x) for x in texts], np.int64)
-        key = (np.repeat(np.arange(n, dtype=np.int64), self.lengths) << 16) | np.concatenate(texts).astype(np.int64)
+        key = (np.repeat(np.arange(n, dtype=np.int32), self.lengths) << 16) | np.concatenate(texts).astype(np.int32)
         key, count = np.unique(key, return_counts=True)
-        self.doc, self.term = key >> 16, key & 0xFFFF
+        self.doc, self.term = (key >> 16).astype(np.int64), (key & 0xFFFF).astype(np.int64)
         self.at_doc = np.searchsorted(self.doc, np.arange(n + 1))
         norm = K1 * (1 - B + B * self.lengths / mean)
         self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
@@ -178,16 +223,17 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, vocabulary: int = 1 << 16) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Whole windows of a document are sequences of their own; what is left of it, shorter than a window, is packed with
     its neighbours. A sequence is a full window, or else its length is a power of two, so nothing is padded. Null and
     empty texts are the end id alone. Repeated rows, and rows with the same or a null id, are packed each for itself.
-    An empty table gives no pieces. Other columns of docs are not read. vocabulary must be at most 2^16.
+    An empty table gives no pieces. Other columns of docs are not read. The tokenizer's ids must be below 2^16.
     """
     tokens = written(tokenized(docs, path, id_col, text_col, end_id), "tokens")
-    frequency, n, mean = document_frequencies(tokens, vocabulary)
+    frequency, n, mean = document_frequencies(tokens)
+    tokens = tokens.where("doc_tokens > 0")
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
