@@ -2,12 +2,16 @@
 
 1. Each string of length bytes holds an anchor: the string's smallest k-gram hash. Equal strings have equal anchors, so
    an anchor that only one document has needs no further look. Anchors are dealt to shards by their hash.
-2. The bytes around each shared anchor go to that anchor's shard, equal surroundings once. There the suffixes that start
-   in them are sorted by a mergesort that compares two suffixes by binary search for their common extension over prefix
+2. The bytes around each shared anchor go to that anchor's shard, from each sender equal surroundings once, for the
+   smallest document that has them (they cover all its others). There the suffixes that start in them are sorted by a mergesort that compares two suffixes by binary search for their common extension over prefix
    polynomial hashes. Runs of suffixes with a common extension of length bytes are verified byte by byte; the smallest
    document id of each run decides which of its members are removed.
 3. The removed spans go back to their documents.
 
+An anchor that very many documents have would bring all their surroundings to one shard. Instead each string that holds
+it goes to a shard by its own hash: strings within a common passage are equal, so each sender has one of each, and those
+that reach over its ends differ and so spread over all shards.
+
 Anchors, surroundings and spans travel as compressed blocks, one for each sender and shard.
 """
 
@@ -17,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,11 @@ from .common import id_and_bytes, slices
 LENGTH = 50
 GRAM = 26
 #: Bytes of text for each shard and for each batch of documents that one task holds.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
+#: Documents with one anchor, beyond which its strings are dealt by their own hashes.
+HOT_DOCS = 20_000
+#: Surroundings whose suffixes are sorted at once.
+SORT_ROWS = 20_000
 #: Bytes of text whose anchors a sender gathers before it sends them.
 SEND_BYTES = 24 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +108,10 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def string_hash(string: bytes) -> int:
+    return xxhash.xxh64_intdigest(string, 50)
+
+
 class Extensions:
     """Common extensions of suffixes of one buffer, by prefix polynomial hashes and binary search."""
 
@@ -174,23 +187,38 @@ def merge_sort(suffix: np.ndarray, segment: np.ndarray, ext: Extensions) -> np.n
 
 def smallest_sources(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray, group: np.ndarray, doc: np.ndarray, length: int, gram: int) -> np.ndarray:
     """For surroundings (begin, size) of anchors left bytes in, of different bytes within their group, and the smallest
-    document that has each: the smallest document of each string, by its start's distance before the anchor."""
+    document that has each: the smallest document of each string, by its start's distance before the anchor. Groups are consecutive."""
     reach = length - gram + 1
     most = np.iinfo(np.int64).max
     out = np.full((len(begin), reach), most, np.int64)
     back = np.arange(reach)
     there = (back <= left[:, None]) & (length - back <= (size - left)[:, None])
     out[there] = np.broadcast_to(doc[:, None], out.shape)[there]
-    _, where, many = np.unique(group, return_inverse=True, return_counts=True)
-    there &= (many[where] > 1)[:, None]
-    row, off = np.nonzero(there)
-    if not len(row):
+    starts = np.concatenate([[0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(group)]])
+    many = np.diff(starts) > 1
+    where = np.repeat(np.arange(len(many)), np.diff(starts))
+    there &= many[where][:, None]
+    if not there.any():
         return out
+    ext, at = Extensions(data, length), 0
+    while at < len(begin):  # whole groups at a time
+        end = max(int(starts[np.searchsorted(starts, at + SORT_ROWS, "right") - 1]), int(starts[where[at] + 1]))
+        _sort_part(at, end, there, where, begin, left, doc, ext, out)
+        at = end
+    return out
+
+
+def _sort_part(low: int, high: int, there: np.ndarray, where: np.ndarray, begin: np.ndarray, left: np.ndarray, doc: np.ndarray, ext: Extensions, out: np.ndarray) -> None:
+    """smallest_sources for the surroundings from low to high."""
+    length, data, reach = ext.length, ext.data, there.shape[1]
+    row, off = np.nonzero(there[low:high])
+    if not len(row):
+        return
+    row += low
     by = np.lexsort((off, where[row]))
     row, off = row[by], off[by]
     segment = where[row] * reach + off
     suffix = begin[row] + left[row] - off
-    ext = Extensions(data, length)
     order = merge_sort(suffix, segment, ext)
     row, off, suffix = row[order], off[order], suffix[order]
     a, b = suffix[:-1], suffix[1:]
@@ -207,7 +235,6 @@ def smallest_sources(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left
     starts = np.concatenate([[0], np.nonzero(~same)[0] + 1])
     least = np.minimum.reduceat(doc[row], starts)
     out[row, off] = np.repeat(least, np.diff(np.append(starts, len(row))))
-    return out
 
 
 def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
@@ -233,83 +260,110 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def sent(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        batch_of: list[np.ndarray] = []
+        size = texts_held = 0
 
         def flush() -> pa.RecordBatch:
-            h, batch = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((batch, h))
-            h, batch = h[order], batch[order]
-            first = np.concatenate([[True], (h[1:] != h[:-1]) | (batch[1:] != batch[:-1])]) if len(h) else np.zeros(0, bool)
-            starts = np.nonzero(first)[0]
-            many = np.diff(np.append(starts, len(h))) > 1
-            h, code = h[starts], (batch[starts] << 1 | many).astype(np.uint32)
+            h, text = (np.concatenate(x) for x in zip(*found, strict=True))
+            of = np.concatenate(batch_of)
+            rank = np.empty(len(of), np.int64)
+            rank[np.argsort(of, kind="stable")] = np.arange(len(of))
+            order = np.argsort(h)
+            h, text = h[order], rank[text[order]]
+            again = np.concatenate([[False], h[1:] == h[:-1]])
+            tied = np.nonzero(again | np.append(again[1:], False))[0]  # hashes that are here more than once
+            text[tied] = text[tied[np.lexsort((text[tied], h[tied]))]]
+            first = ~np.concatenate([[False], (h[1:] == h[:-1]) & (text[1:] == text[:-1])])
+            h, batch = h[first], np.sort(of)[text[first]]
+            starts = np.nonzero(~np.concatenate([[False], (h[1:] == h[:-1]) & (batch[1:] == batch[:-1])]))[0]
+            h, batch, many = h[starts], batch[starts].astype(np.uint32), np.diff(np.append(starts, len(h))).astype(np.uint16)
             cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
             full = np.nonzero(np.diff(cuts))[0]
-            deltas = [pack(np.diff(h[cuts[s] : cuts[s + 1]], prepend=np.uint64(0))) for s in full]
-            codes = [pack(code[cuts[s] : cuts[s + 1]]) for s in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(deltas, pa.binary()), pa.array(codes, pa.binary())], ["shard", "hashes", "codes"])
+            spans = [slice(cuts[s], cuts[s + 1]) for s in full]
+            columns = [[pack(np.diff(h[x], prepend=np.uint64(0))) for x in spans], [pack(batch[x]) for x in spans], [pack(many[x]) for x in spans]]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32())] + [pa.array(c, pa.binary()) for c in columns], ["shard", "hashes", "batches", "docs"])
 
-        for part in slices(incoming, 300):
+        for part in slices(incoming, 100):
             ids, texts = id_and_bytes(part)
             texts = [t if i is not None else b"" for i, t in zip(ids.to_pylist(), texts, strict=True)]
             text, _, h = anchors(texts, length, gram)
-            once = np.unique(np.stack([text.astype(np.uint64), h], 1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-            found.append((once[:, 1], part.column(2).to_numpy()[once[:, 0].astype(np.int64)].astype(np.int64)))
+            found.append((h, text + texts_held))
+            batch_of.append(part.column(2).to_numpy().astype(np.int64))
             size += sum(map(len, texts))
-            if size > SEND_BYTES:
+            texts_held += len(texts)
+            if size > SEND_BYTES or texts_held > 60_000:
                 yield flush()
                 found.clear()
-                size = 0
+                batch_of.clear()
+                size = texts_held = 0
         if found:
             yield flush()
 
     def shared(table: pa.Table) -> pa.Table:
         h = np.concatenate([np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in table.column("hashes").to_pylist()])
-        code = np.concatenate([unpack(x, "<u4") for x in table.column("codes").to_pylist()])
+        batch, docs = (np.concatenate([unpack(x, kind) for x in table.column(k).to_pylist()]).astype(np.int64) for k, kind in (("batches", "<u4"), ("docs", "<u2")))
         order = np.argsort(h, kind="stable")
-        h, code = h[order], code[order]
-        starts = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1])
-        counts = np.diff(np.append(starts, len(h)))
-        flagged = np.repeat((counts > 1) | (np.bitwise_or.reduceat(code, starts) & 1 == 1), counts)
-        h, batch = h[flagged], (code[flagged] >> 1).astype(np.int64)
+        h, batch, docs = h[order], batch[order], docs[order]
+        starts = np.concatenate([[0], np.nonzero(h[1:] != h[:-1])[0] + 1]) if len(h) else np.zeros(0, np.int64)
+        there = np.repeat(np.add.reduceat(docs, starts), np.diff(np.append(starts, len(h)))) if len(h) else docs
+        flagged = there > 1
+        h, batch, hot = h[flagged], batch[flagged], there[flagged] > HOT_DOCS
         order = np.lexsort((h, batch))
-        h, batch = h[order], batch[order]
+        h, batch, hot = h[order], batch[order], hot[order]
         cuts = np.searchsorted(batch, np.arange(batches + 1))
         full = np.nonzero(np.diff(cuts))[0]
-        return pa.table({"batch": pa.array(full, pa.int32()), "hashes": pa.array([pack(np.diff(h[cuts[b] : cuts[b + 1]], prepend=np.uint64(0))) for b in full], pa.binary())})
+        spans = [slice(cuts[b], cuts[b + 1]) for b in full]
+        columns = {"hashes": [pack(np.diff(h[x], prepend=np.uint64(0))) for x in spans], "hot": [pack(hot[x].view(np.uint8)) for x in spans]}
+        return pa.table({"batch": pa.array(full, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
 
     def surroundings(mine: pa.Table, flags: pa.Table) -> pa.Table:
         ids, texts = _rows(mine)
-        out: dict[str, list] = {k: [] for k in ("shard", "batch", "hashes", "docs", "rows", "at", "left", "which", "sizes", "data")}
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in flags.column("hashes").to_pylist()]]))
-        found = []
-        for low in range(0, len(texts) if len(known) else 0, 300):
-            part = [t if i is not None else b"" for i, t in zip(ids[low : low + 300], texts[low : low + 300], strict=True)]
+        names = ("hashes", "docs", "rows", "at", "which", "left", "sizes", "data", "local")
+        out: dict[str, list] = {k: [] for k in ("shard", "batch", *names)}
+        known = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in flags.column("hashes").to_pylist()]])
+        hot = np.concatenate([np.zeros(0, np.uint8), *[unpack(x, "u1") for x in flags.column("hot").to_pylist()]]).astype(bool)
+        by = np.argsort(known, kind="stable")
+        known, hot = known[by], hot[by]
+        reach = length - gram
+        # what is around an anchor (how far in it lies, bytes) -> its number and first row; rows go by id
+        around: dict[tuple[int, bytes], tuple[int, int]] = {}
+        sent_on: list[tuple[int, int, int, int]] = []
+        local: list[tuple[int, int, int]] = []
+        doc = [-1 if i is None else i for i in ids]
+        for low in range(0, len(texts) if len(known) else 0, 100):
+            part = [t if i is not None else b"" for i, t in zip(ids[low : low + 100], texts[low : low + 100], strict=True)]
             text, pos, h = anchors(part, length, gram)
             spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
             hit = known[spot] == h
-            found.append((text[hit] + low, pos[hit], h[hit]))
-        if found:
-            text, pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(h, kind="stable")
-            text, pos, h = text[order], pos[order], h[order]
-            doc = np.array([-1 if i is None else i for i in ids], np.int64)
+            for t, p, x, many in zip((text[hit] + low).tolist(), pos[hit].tolist(), h[hit].tolist(), hot[spot[hit]].tolist(), strict=True):
+                s = texts[t]
+                if many:
+                    strings = [(p - at, s[at : at + length]) for at in range(max(0, p - reach), min(p, len(s) - length) + 1)]
+                else:
+                    strings = [(min(p, reach), s[max(0, p - reach) : p + length])]
+                for left, string in strings:
+                    if len(string) >= length:
+                        number, row = around.setdefault((left, string), (len(around), t))
+                        if doc[row] < doc[t]:
+                            local.append((t, p - left, p - left + len(string)))
+                        else:
+                            sent_on.append((string_hash(string) if many else x, number, t, p))
+        batch = mine.column("batch")[0].as_py() if mine.num_rows else 0
+        if around:
+            h, number, row, at = (np.array(x, kind) for x, kind in zip(zip(*sent_on, strict=True), (np.uint64, np.int64, np.uint32, np.uint32), strict=True))
+            keys = list(around)
+            order = np.lexsort((number, h))
+            h, number, row, at = h[order], number[order], row[order], at[order]
+            numbers = np.array(doc, np.int64)[row]
             cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-            batch = mine.column("batch")[0].as_py()
-            for s in np.nonzero(np.diff(cuts))[0].tolist():
-                span = slice(cuts[s], cuts[s + 1])
-                table: dict[tuple[int, bytes], int] = {}
-                which = [table.setdefault((p if p < length - gram else length - gram, texts[t][max(0, p - length + gram) : p + length]), len(table)) for t, p in zip(text[span].tolist(), pos[span].tolist(), strict=True)]
-                out["shard"].append(s)
-                out["batch"].append(batch)
-                out["hashes"].append(pack(np.diff(h[span], prepend=np.uint64(0))))
-                out["docs"].append(pack(doc[text[span]]))
-                out["rows"].append(pack(text[span].astype(np.uint32)))
-                out["at"].append(pack(pos[span].astype(np.uint32)))
-                out["which"].append(pack(np.array(which, np.uint32)))
-                out["left"].append(pack(np.array([x for x, _ in table], np.uint16)))
-                out["sizes"].append(pack(np.array([len(x) for _, x in table], np.uint16)))
-                out["data"].append(zstandard.compress(b"".join(x for _, x in table), 1))
+            for n, s in enumerate(np.nonzero(np.diff(cuts))[0].tolist()):
+                x = slice(cuts[s], cuts[s + 1])
+                own, which = np.unique(number[x], return_inverse=True)
+                strings = [keys[i] for i in own.tolist()]
+                columns = [np.diff(h[x], prepend=np.uint64(0)), numbers[x], row[x], at[x], which.astype(np.uint32), np.array([k for k, _ in strings], np.uint16), np.array([len(k) for _, k in strings], np.uint16)]
+                mine_too = np.array(local if n == 0 else [], np.uint32).reshape(-1, 3)
+                for name, value in zip(("shard", "batch", *names), (s, batch, *map(pack, columns), zstandard.compress(b"".join(k for _, k in strings), 3), pack(mine_too.ravel())), strict=True):
+                    out[name].append(value)
         kinds = {"shard": pa.int32(), "batch": pa.int32()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
@@ -317,29 +371,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def each(name: str, kind: str) -> list[np.ndarray]:
             return [unpack(x, kind) for x in table.column(name).to_pylist()]
 
-        which, lefts = each("which", "<u4"), each("left", "<u2")
-        sender = np.repeat(np.arange(len(which)), [len(x) for x in which])
-        ahead = np.concatenate([[0], np.cumsum([len(x) for x in lefts])])
-        which = np.concatenate(which).astype(np.int64) + ahead[sender]
-        h = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in each("hashes", "<u8")])
+        h = np.concatenate(hashes := [np.cumsum(x, dtype=np.uint64) for x in each("hashes", "<u8")])
+        batch = np.repeat(np.array(table.column("batch").to_pylist(), np.int64), [len(x) for x in hashes])
         doc, row, at = (np.concatenate(each(k, kind)).astype(np.int64) for k, kind in (("docs", "<i8"), ("rows", "<u4"), ("at", "<u4")))
+        lefts = each("left", "<u2")
+        ahead = np.cumsum([0] + [len(x) for x in lefts])
+        which = np.concatenate([x.astype(np.int64) + a for x, a in zip(each("which", "<u4"), ahead, strict=False)])
         left, size = np.concatenate(lefts).astype(np.int64), np.concatenate(each("sizes", "<u2")).astype(np.int64)
-        data = np.frombuffer(b"".join(zstandard.decompress(x) for x in table.column("data").to_pylist()), np.uint8)
-        begin = np.cumsum(size) - size
+        raw = b"".join(zstandard.decompress(x) for x in table.column("data").to_pylist())
+        data, begin = np.frombuffer(raw, np.uint8), np.cumsum(size) - size
         # surroundings that are the same from several senders count as one
         names: dict[tuple[int, bytes], int] = {}
-        raw = data.tobytes()
         same = np.array([names.setdefault((x, raw[b : b + s]), len(names)) for x, b, s in zip(left.tolist(), begin.tolist(), size.tolist(), strict=True)], np.int64)
         del names, raw
         first = np.unique(same, return_index=True)[1]
         kind = same[which]
-        order = np.argsort(kind, kind="stable")
-        starts = np.searchsorted(kind[order], np.arange(len(first)))
-        least, group = np.minimum.reduceat(doc[order], starts), h[order][starts]
+        least, group = np.full(len(first), np.iinfo(np.int64).max), np.zeros(len(first), np.uint64)
+        np.minimum.at(least, kind, doc)
+        group[kind] = h
         by = np.argsort(group, kind="stable")
         source = np.empty((len(first), length - gram + 1), np.int64)
         source[by] = smallest_sources(data, begin[first][by], size[first][by], left[first][by], group[by], least[by], length, gram)
-        batch = np.array(table.column("batch").to_pylist(), np.int64)[sender]
         spans = []
         for low in range(0, len(kind), 100_000):
             part = slice(low, low + 100_000)
@@ -347,7 +399,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             hit = np.nonzero(covered.any(1))[0]
             nearest, farthest = covered[hit].argmax(1), length - gram - covered[hit][:, ::-1].argmax(1)
             spans.append(np.stack([batch[part][hit], row[part][hit], at[part][hit] - farthest, at[part][hit] - nearest + length], 1))
+        for b, x in zip(table.column("batch").to_pylist(), each("local", "<u4"), strict=True):
+            x = x.reshape(-1, 3).astype(np.int64)
+            spans.append(np.concatenate([np.full((len(x), 1), b), x], 1))
         b, row, s, e = np.concatenate(spans)[np.lexsort(np.concatenate(spans).T[[2, 1, 0]])].T
+        if len(b):  # spans that overlap or touch become one; a row's come by their start
+            key = b << 32 | row
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            lead = np.maximum.accumulate(np.where(new, np.arange(len(b)), 0))
+            shift = lead << 33
+            end = np.maximum.accumulate(e + shift) - shift
+            starts = np.nonzero(new | np.concatenate([[True], s[1:] > end[:-1]]))[0]
+            b, row, s, e = b[starts], row[starts], s[starts], end[np.append(starts[1:], len(end)) - 1]
         cuts = np.searchsorted(b, np.arange(batches + 1))
         full = np.nonzero(np.diff(cuts))[0]
         blocks = {k: pa.array([pack(x[cuts[i] : cuts[i + 1]].astype(np.uint32)) for i in full], pa.binary()) for k, x in (("rows", row), ("starts", s), ("ends", e))}
@@ -371,7 +434,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = (("id", ids, pa.int64()), ("text", texts, pa.binary()), ("kept", kept, pa.binary()), ("n_removed", gone, pa.int64()), ("n_spans", [len(a) for a in starts], pa.int64()), ("starts", starts, pa.list_(pa.int64())), ("ends", ends, pa.list_(pa.int64())))
         return pa.table({k: pa.array(v, t) for k, v, t in columns})
 
-    flags = rows.select("id", "text", "batch").mapInArrow(sent, "shard int, hashes binary, codes binary").groupBy("shard").applyInArrow(shared, "batch int, hashes binary")
-    around = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(surroundings, "shard int, batch int, hashes binary, docs binary, rows binary, at binary, left binary, which binary, sizes binary, data binary")
+    flags = rows.select("id", "text", "batch").mapInArrow(sent, "shard int, hashes binary, batches binary, docs binary").groupBy("shard").applyInArrow(shared, "batch int, hashes binary, hot binary")
+    block = "shard int, batch int, hashes binary, docs binary, rows binary, at binary, which binary, left binary, sizes binary, data binary, local binary"
+    around = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(surroundings, block)
     spans = around.groupBy("shard").applyInArrow(decided, "batch int, rows binary, starts binary, ends binary")
     return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(removed, "id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>")
