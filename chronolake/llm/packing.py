@@ -52,28 +52,36 @@ class Words:
 
         self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.last = np.zeros(1 << 16, bool)  # a word's last id, and no other, is one with the mark of a word's end
+        self.last[[i for word, i in self.whole.get_vocab().items() if word.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
 
     def _merge(self, pieces: list[str]) -> None:
         groups = [pieces[at : at + 1000] for at in range(0, len(pieces), 1000)]
-        for group, coded in zip(groups, self.merges.encode_batch(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            ids, ends = np.array(coded.ids, "<u2").tobytes(), (2 * np.cumsum(np.bincount(coded.word_ids, minlength=len(group)))).tolist()
-            self.pieces.update((w, ids[a:b]) for w, a, b in zip(group, [0, *ends], ends, strict=False))
+        for group, coded in zip(groups, self.merges.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u2")
+            ends = (2 * np.nonzero(self.last[ids])[0] + 2).tolist()
+            raw = ids.tobytes()
+            self.pieces.update((w, raw[a:b]) for w, a, b in zip(group, [0, *ends[:-1]], ends, strict=True))
 
     def learn(self, fresh: list[bytes]) -> None:
-        plain, other = [], []
-        for raw in fresh:
-            text = raw.decode("utf-8", "replace")
-            if max(text) < _PLAIN and "\u0130" not in text:
-                low = text.lower()
-                core = low.rstrip(_PUNCTUATION)
-                if not core or core.isalpha():
-                    plain.append((raw, core, low[len(core) :]))
-                    continue
-            other.append((raw, text))
-        self._merge(list({p for _, core, tail in plain for p in (core, tail)}.difference(self.pieces)))
-        self.known.update((raw, self.pieces[core] + self.pieces[tail]) for raw, core, tail in plain)
+        joined = b"\n".join(fresh).decode("utf-8", "replace")
+        texts, low = joined.split("\n"), joined.lower().split("\n")
+        if max(joined) < _PLAIN and "\u0130" not in joined:
+            simple = [True] * len(fresh)
+        else:
+            simple = [max(t) < _PLAIN and "\u0130" not in t for t in texts]
+            low = [t.lower() if s else "" for t, s in zip(texts, simple, strict=True)]
+        cores = [t.rstrip(_PUNCTUATION) for t in low]
+        simple = [s and (not c or c.isalpha()) for s, c in zip(simple, cores, strict=True)]
+        other = [x for x, s in zip(zip(fresh, texts, strict=True), simple, strict=True) if not s]
+        plain = [(raw, c, t[len(c) :]) for raw, c, t, s in zip(fresh, cores, low, simple, strict=True) if s]
+        new = {c for _, c, _ in plain}
+        new.update(t for _, _, t in plain)
+        self._merge(list(new.difference(self.pieces)))
+        pieces = self.pieces
+        self.known.update([(raw, pieces[c] + pieces[t]) for raw, c, t in plain])
         for at in range(0, len(other), 10_000):
             part = other[at : at + 10_000]
             coded = self.whole.encode_batch_fast([t for _, t in part], add_special_tokens=False)
