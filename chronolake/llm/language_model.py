@@ -29,7 +29,7 @@ from .common import id_and_bytes, slices, written
 from .suffixes import pack, unpack
 
 #: Most entries of the table of frequent tokens that every task gets (12 bytes each).
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 #: About so many tokens for each shard.
 SHARD_TOKENS = 2_500_000
 #: Gibbs rounds between samples, samples thrown away, samples kept.
