@@ -35,7 +35,7 @@ SHARD_BYTES = 4 << 20
 #: Documents with one anchor, beyond which its strings are dealt by their own hashes.
 HOT_DOCS = 20_000
 #: Surroundings whose suffixes are sorted at once.
-SORT_ROWS = 20_000
+SORT_ROWS = 10_000
 #: Bytes of text whose anchors a sender gathers before it sends them.
 SEND_BYTES = 24 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -200,21 +200,23 @@ def smallest_sources(data: np.ndarray, begin: np.ndarray, size: np.ndarray, left
     there &= many[where][:, None]
     if not there.any():
         return out
-    ext, at = Extensions(data, length), 0
+    at = 0
     while at < len(begin):  # whole groups at a time
         end = max(int(starts[np.searchsorted(starts, at + SORT_ROWS, "right") - 1]), int(starts[where[at] + 1]))
-        _sort_part(at, end, there, where, begin, left, doc, ext, out)
+        part, sizes = slice(at, end), size[at:end]
+        ahead = np.cumsum(sizes) - sizes
+        own = data[np.repeat(begin[part] - ahead, sizes) + np.arange(sizes.sum())]
+        _sort_part(there[part], where[part], ahead, left[part], doc[part], Extensions(own, length), out[part])
         at = end
     return out
 
 
-def _sort_part(low: int, high: int, there: np.ndarray, where: np.ndarray, begin: np.ndarray, left: np.ndarray, doc: np.ndarray, ext: Extensions, out: np.ndarray) -> None:
-    """smallest_sources for the surroundings from low to high."""
+def _sort_part(there: np.ndarray, where: np.ndarray, begin: np.ndarray, left: np.ndarray, doc: np.ndarray, ext: Extensions, out: np.ndarray) -> None:
+    """smallest_sources for some whole groups, written to out."""
     length, data, reach = ext.length, ext.data, there.shape[1]
-    row, off = np.nonzero(there[low:high])
+    row, off = np.nonzero(there)
     if not len(row):
         return
-    row += low
     by = np.lexsort((off, where[row]))
     row, off = row[by], off[by]
     segment = where[row] * reach + off
