@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, hamming, language_model, packing, quality, simhash, suffixes, toxicity
+from . import embeddings, hamming, language_model, packing, quality, simhash, suffixes, toxicity, url_trust
 from .common import fold_of, table
 
 
@@ -35,6 +35,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_trust.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint and group of near duplicates of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
@@ -80,10 +85,11 @@ QUERIES = {
     "op2_hpyp_scores": op2_hpyp_scores,
     "op3_retrieval_packing": op3_retrieval_packing,
     "op4_quality": op4_quality,
+    "op5_url_trust": op5_url_trust,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_toxicity_mil": op7_toxicity_mil,
     "op8_hamming_topk": op8_hamming_topk,
     "op9_embedding_cells": op9_embedding_cells,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
-ORACLES: dict[str, str] = {"op8_hamming_topk": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_url_trust": url_trust.judge_sql(), "op8_hamming_topk": OP8_SQL}
