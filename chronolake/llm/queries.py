@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, hamming, language_model, packing, quality, simhash, suffixes, toxicity, url_trust
+from . import byte_bpe, embeddings, hamming, language_model, packing, quality, simhash, suffixes, toxicity, url_trust
 from .common import fold_of, table
 
 
@@ -15,6 +15,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's byte-level BPE ids and of the bytes they decode to."""
+    import public_tokenizers
+
+    found = byte_bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_hpyp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log10 probability; the fold crc32(doc_id) mod 7 = 2 is never learnt from."""
     fold = fold_of("doc_id", 7)
@@ -82,6 +90,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
     "op2_hpyp_scores": op2_hpyp_scores,
     "op3_retrieval_packing": op3_retrieval_packing,
     "op4_quality": op4_quality,
