@@ -1,6 +1,6 @@
 """Lexical retrieval packing: documents fill training windows together with their BM25 neighbours.
 
-Documents are ordered by their rarest token, so that related ones meet, and dealt by ranges of that order to
+Documents are ordered by their token that the vocabulary took in last (the rarest, as a rule), so that related ones meet, and dealt by ranges of that order to
 tasks; each run of shard_docs documents there is one shard with an inverted index of its own. Token statistics
 (document frequencies, mean length) are those of the whole corpus; they are one number per vocabulary entry. Each
 window starts from a seed, and the seed's unused neighbours fill it in the order of their scores. The last one is
@@ -102,8 +102,9 @@ def words_of(path: str) -> Words:
     return Words(path)
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, size: int = 1 << 16) -> DataFrame:
-    """(doc_id, doc_tokens, ids): each document's ids with end_id after them, as 16-bit integers in a binary.
+def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, window: int = WINDOW, size: int = 1 << 16) -> DataFrame:
+    """(doc_id, doc_tokens, last, ids): each document's ids with end_id after them, as 16-bit integers in a binary. last
+    is the greatest id after the document's whole windows, -1 if nothing is left there.
 
     Each task adds a row with doc_tokens -1 whose ids are its counts (64-bit): for each of size ids the documents that
     have it, then all documents, then all ids.
@@ -111,7 +112,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen, there = ["doc_id", "doc_tokens", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), bool)
+        names, seen, there = ["doc_id", "doc_tokens", "last", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), bool)
         for batch in slices(batches, 1000):
             keys, texts = id_and_bytes(batch)
             ids = [c + end for c in words_of(path).encode(texts)]
@@ -121,10 +122,11 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 there[np.repeat(np.arange(len(lengths[low : low + 64])), lengths[low : low + 64]), np.frombuffer(b"".join(ids[low : low + 64]), "<u2")] = True
                 seen[:size] += there.sum(0)
             seen[size:] += len(ids), lengths.sum()
-            yield pa.RecordBatch.from_arrays([keys, pa.array(lengths), pa.array(ids, pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([seen.tobytes()], pa.binary())], names)
+            last = [int(np.frombuffer(c, "<u2")[n - n % window :].max(initial=0)) if n % window else -1 for c, n in zip(ids, lengths.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array(lengths), pa.array(last, pa.int32()), pa.array(ids, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, doc_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, doc_tokens long, last int, ids binary")
 
 
 def document_frequencies(tokens: DataFrame, size: int = 1 << 16) -> tuple[np.ndarray, int, float]:
@@ -239,7 +241,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     empty texts are the end id alone. Repeated rows, and rows with the same or a null id, are packed each for itself.
     An empty table gives no pieces. Other columns of docs are not read. The tokenizer's ids must be below 2^16.
     """
-    tokens = written(tokenized(docs, path, id_col, text_col, end_id), "tokens")
+    tokens = written(tokenized(docs, path, id_col, text_col, end_id, window), "tokens")
     frequency, n, mean = document_frequencies(tokens)
     tokens = tokens.where("doc_tokens > 0")
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
@@ -255,18 +257,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     number += 2
             yield _pieces(rows)
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1000):
-            out = []
-            for doc, total, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = raw[(total - total % window) * 2 :]
-                if raw:
-                    ids = np.frombuffer(raw, "<u2")
-                    out.append((int(ids[np.argmax(idf[ids])]), doc, total, raw))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["rarest", "doc_id", "doc_tokens", "ids"])
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = (TaskContext.get().partitionId() << 34) | 1
         held: list[tuple] = []
@@ -293,7 +283,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield flush(held)
 
     parts = max(1, -(-n // (2 * shard_docs)))
-    tails = tokens.mapInArrow(ends, "rarest int, doc_id long, doc_tokens long, ids binary")
-    dealt = tails.repartitionByRange(parts, "rarest", "doc_id").sortWithinPartitions("rarest", "doc_id", "ids")
-    from_whole = tokens.where(F.col("doc_tokens") >= window).mapInArrow(whole, PIECE)
+    rest = F.substring("ids", (F.col("doc_tokens") - F.col("doc_tokens") % window) * 2 + 1, F.lit(2 * window))
+    tails = tokens.where("last >= 0").select("last", "doc_id", "doc_tokens", rest.alias("ids"))
+    dealt = tails.repartitionByRange(parts, "last", "doc_id").sortWithinPartitions("last", "doc_id", "ids")
+    from_whole = tokens.where(F.col("doc_tokens") >= window).select("doc_id", "doc_tokens", "ids").mapInArrow(whole, PIECE)
     return from_whole.unionByName(dealt.select("doc_id", "doc_tokens", "ids").mapInArrow(packed, PIECE))
