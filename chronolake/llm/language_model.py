@@ -1,7 +1,7 @@
 """Scores of texts under a hierarchical Pitman-Yor language model.
 
 The model has three levels. Each context (the token before) is a restaurant whose customers are the tokens that follow it
-in the training texts. The restaurants of one shard of contexts share a parent restaurant, whose customers are their
+in the training texts. The restaurants of one group of contexts share a parent restaurant, whose customers are their
 tables; its base is the corpus-wide distribution of single tokens: (c + 1) / (N + V + 1) for the most frequent tokens, and
 the mean of that over all others, known or not. Seatings are sampled by Gibbs: in each round one customer of each dish
 leaves and is seated anew, given all other seats of its restaurant. A token's probability is the mean over the samples
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,10 @@ from .suffixes import pack, unpack
 FREQUENT = 1 << 18
 #: About so many tokens for each shard.
 SHARD_TOKENS = 2_500_000
+#: Each shard's contexts are dealt to so many parents, which are worked on one after the other to bound memory.
+PARENTS = 3
 #: Gibbs rounds between samples, samples thrown away, samples kept.
-ROUNDS, BURN_IN, SAMPLES = 6, 2, 3
+ROUNDS, BURN_IN, SAMPLES = 4, 2, 3
 DISCOUNTS = (0.5, 0.7, 0.85, 0.95)
 STRENGTHS = (0.5, 2.0, 10.0, 50.0, 250.0, 2000.0)
 PARENT_STRENGTHS = (1e3, 1e4, 1e5, 1e6, 1e7, 1e8)
@@ -105,16 +108,17 @@ class Vocabulary:
 
     def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the texts' tokens, ends included, and each text's number of them."""
-        if len(self.known) > 400_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         fresh = list(set().union(*texts).difference(self.known))
         self.known.update(zip(fresh, self.code(np.fromiter(map(word_hash, fresh), np.int64, len(fresh))).tolist(), strict=True))
         end = int(self.code(np.array([END]))[0])
-        get, flat = self.known.__getitem__, []
-        for words in texts:
-            flat.extend(map(get, words))
-            flat.append(end)
-        return np.array(flat, np.int64), np.array([len(w) + 1 for w in texts], np.int64)
+        sizes = np.array([len(w) + 1 for w in texts], np.int64)
+        out = np.full(int(sizes.sum()), end)
+        words = np.ones(len(out), bool)
+        words[np.cumsum(sizes) - 1] = False
+        out[words] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, len(out) - len(texts))
+        return out, sizes
 
     def base_of(self, codes: np.ndarray) -> np.ndarray:
         out = np.full(len(codes), self.rare)
@@ -153,17 +157,14 @@ class Seating:
         self.size = np.zeros(len(self.seat), np.int64)
         self.size[self.start] = self.c
         self.t = np.ones(len(self.at), np.int64)
-
-    def totals(self) -> np.ndarray:
-        self.tables[self.at] = self.t
-        return np.bincount(self.restaurant, self.tables, self.restaurants)
+        self.totals = np.bincount(restaurant, self.tables, restaurants)
 
     def round(self, parent: np.ndarray, discount: np.ndarray, strength: np.ndarray) -> None:
         """One customer of each dish leaves its table and is seated anew. discount and strength: by restaurant."""
         if not len(self.at):
             return
         rng, c, start = self.rng, self.c, self.start
-        totals = self.totals()
+        totals = self.totals
         r = self.restaurant[self.at]
         who = start + (rng.random(len(c)) * c).astype(np.int64)
         old = self.seat[who]
@@ -199,6 +200,7 @@ class Seating:
         self.seat[who] = table
         self.size[table] += 1
         self.t += new
+        self.totals += np.bincount(r, new.astype(np.float64) - gone, self.restaurants)
         self.tables[self.at] = self.t
 
 
@@ -253,7 +255,7 @@ def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabul
     for sample in range(BURN_IN + SAMPLES):
         for _ in range(ROUNDS):
             seats.round(parent[dish] / parent_share[r], discount, strength)
-        totals = seats.totals()
+        totals = seats.totals
         # the parent restaurant: its customers are the tables
         customers = np.bincount(dish, seats.tables, n_w).astype(np.int64)
         whole, served = int(customers.sum()), int((customers > 0).sum())
@@ -269,7 +271,7 @@ def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabul
             upper = Seating(customers, one, 1, rng)
             for _ in range(ROUNDS):
                 upper.round(base, d1, s1)
-            rest = (s1[0] + d1[0] * upper.totals()[0]) / (s1[0] + whole)
+            rest = (s1[0] + d1[0] * upper.totals[0]) / (s1[0] + whole)
             own = np.maximum(customers - d1[0] * upper.tables, 0) / (s1[0] + whole)
             parent = own + rest * base
             parent_share = np.ones(n_r)
@@ -327,12 +329,16 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             known = np.bincount(text[often], minlength=len(texts))
             base = np.bincount(text[often], np.log10(v.counts[codes[often]] + 1) - log_whole, len(texts)) - 0.0
             twin = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
-            pairs, times = np.unique(np.stack([text[~often], -1 - codes[~often]]), axis=1, return_counts=True) if not often.all() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-            rare = pa.array(pairs[0])
+            of, h = text[~often], -1 - codes[~often]
+            order = np.lexsort((h, of))
+            of, h = of[order], h[order]
+            first = np.nonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])]))[0] if len(h) else np.zeros(0, np.int64)
+            times, of, h = np.diff(np.append(first, len(h))), of[first], h[first]
+            rare = pa.array(of)
             n, m = len(texts), len(times)
             columns = [
-                pa.concat_arrays([ids.cast(pa.int64()), ids.cast(pa.int64()).take(rare)]), pa.array(np.append(twin, twin[pairs[0]])),
-                pa.array(np.append(mixed(twin * 31 + np.arange(n)).view(np.int64), pairs[1])), pa.array(np.append(np.ones(n, np.int64), np.zeros(m, np.int64))),
+                pa.concat_arrays([ids.cast(pa.int64()), ids.cast(pa.int64()).take(rare)]), pa.array(np.append(twin, twin[of])),
+                pa.array(np.append(mixed(twin * 31 + np.arange(n)).view(np.int64), h)), pa.array(np.append(np.ones(n, np.int64), np.zeros(m, np.int64))),
                 pa.array(np.append(sizes, times)), pa.array(np.append(known, np.zeros(m, np.int64))), pa.array(np.append(base, np.zeros(m))),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "twin", "h", "doc", "n", "known", "base"])
@@ -359,12 +365,14 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
             key = mixed(u) ^ mixed(bucket(codes, v.parts(u, quota)), 3)
             shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             full, rows = np.nonzero(np.diff(cuts))[0], []
             for s in full.tolist():
                 span = order[cuts[s] : cuts[s + 1]]
-                which, local = np.unique(doc[span], return_inverse=True)
+                own = doc[span]  # in order
+                fresh = np.concatenate([[True], own[1:] != own[:-1]])
+                which, local = own[fresh], np.cumsum(fresh) - 1
                 rows.append((s, pack(ids[which]), pack(twins[which].astype(np.uint32)), pack(trains[which].astype(np.uint8)), pack(np.diff(local, prepend=0).astype(np.uint16)), pack(u[span]), pack(codes[span])))
             cols = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["shard", "ids", "twins", "trains", "docs", "contexts", "tokens"])
@@ -392,7 +400,11 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         twins, trains = np.concatenate(each("twins", "<u4")).astype(np.int64), np.concatenate(each("trains", "u1"))
         u, w = np.concatenate(each("contexts", "<i8")), np.concatenate(each("tokens", "<i8"))
         # sampled over the sorted counts, so the order in which blocks came doesn't matter
-        p = shard_probabilities(u, w, trains[doc].astype(bool), shared.value, quota, key[0].as_py())
+        p, parent = np.empty(len(u)), ((mixed(u, 11) >> np.uint64(32)) % np.uint64(PARENTS)).astype(np.uint8)
+        for n in range(PARENTS):
+            own = np.nonzero(parent == n)[0]
+            if len(own):
+                p[own] = shard_probabilities(u[own], w[own], trains[doc[own]].astype(bool), shared.value, quota, key[0].as_py() * PARENTS + n)
         sums = np.bincount(doc, np.log10(p), int(ahead[-1]))
         ids = np.concatenate(ids)
         return pa.table({"id": pa.array(ids, mask=ids == np.iinfo(np.int64).min), "twin": pa.array(twins), "part": pa.array(sums)})
