@@ -26,7 +26,7 @@ from .common import id_and_bytes, slices
 
 BUCKETS = 1 << 15
 #: Words and stretches that a task keeps at most before it starts anew.
-KEPT = 400_000
+KEPT = 250_000
 _NONE = 2147483647  # the rank of a pair that has none
 
 
@@ -128,7 +128,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = Cutter(pattern)
         known: dict[str, tuple[bytes, bytes]] = {}  # of a word: its ids in decimal, what they stand for
-        numbers: dict[str, bytes] = {}  # of a stretch
+        numbers: dict[str, bytes] = {}  # the same of a stretch
         bytes_of: dict[str, bytes] = {}
         for batch in batches:
             for n in range(batch.num_rows):
