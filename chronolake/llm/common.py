@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def uncollected(f: Callable) -> Callable:
+    """f with the cycle collector off: it makes many small objects and no cycles, and collections would walk them all."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return f(*args, **kwargs)
+        finally:
+            if was:
+                gc.enable()
+
+    return run
+
+
 def fold_of(id_col: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices, written
+from .common import id_and_bytes, slices, uncollected, written
 from .suffixes import pack, unpack
 
 #: Most entries of the table of frequent tokens that every task gets (12 bytes each).
@@ -106,6 +106,7 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.ranks[at], -1 - hashes)
 
+    @uncollected
     def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the texts' tokens, ends included, and each text's number of them."""
         if len(self.known) > 500_000:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices, written
+from .common import id_and_bytes, slices, uncollected, written
 
 WINDOW = 2048
 END_ID = 1
@@ -87,6 +87,7 @@ class Words:
             coded = self.whole.encode_batch_fast([t for _, t in part], add_special_tokens=False)
             self.known.update((raw, np.array(c.ids, "<u2").tobytes()) for (raw, _), c in zip(part, coded, strict=True))
 
+    @uncollected
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()

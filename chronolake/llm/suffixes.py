@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices
+from .common import id_and_bytes, slices, uncollected
 
 LENGTH = 50
 GRAM = 26
@@ -326,6 +326,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = {"hashes": [pack(np.diff(h[x], prepend=np.uint64(0))) for x in spans], "hot": [pack(hot[x].view(np.uint8)) for x in spans]}
         return pa.table({"batch": pa.array(full, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
 
+    @uncollected
     def surroundings(mine: pa.Table, flags: pa.Table) -> pa.Table:
         ids, texts = _rows(mine)
         names = ("hashes", "docs", "rows", "at", "which", "left", "sizes", "data", "local")
@@ -377,6 +378,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = {"shard": pa.int32(), "batch": pa.int32()}
         return pa.table({k: pa.array(v, kinds.get(k, pa.binary())) for k, v in out.items()})
 
+    @uncollected
     def decided(table: pa.Table) -> pa.Table:
         def each(name: str, kind: str) -> list[np.ndarray]:
             return [unpack(x, kind) for x in table.column(name).to_pylist()]
