@@ -448,6 +448,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     flags = rows.select("id", "text", "batch").mapInArrow(sent, "shard int, hashes binary, batches binary, docs binary").groupBy("shard").applyInArrow(shared, "batch int, hashes binary, hot binary")
     block = "shard int, batch int, hashes binary, docs binary, rows binary, at binary, which binary, left binary, sizes binary, data binary, local binary"
-    around = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(surroundings, block)
-    spans = around.groupBy("shard").applyInArrow(decided, "batch int, rows binary, starts binary, ends binary")
+    around = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(lambda mine, flags: surroundings(mine, flags), block)
+    spans = around.groupBy("shard").applyInArrow(lambda table: decided(table), "batch int, rows binary, starts binary, ends binary")
     return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(removed, "id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>")
