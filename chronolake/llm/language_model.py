@@ -23,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -356,6 +357,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, held, size = shared.value, [], 0
+        sender = TaskContext.get().partitionId() << 24
 
         def flush() -> pa.RecordBatch:
             ids, twins, trains, sizes, codes = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -374,9 +376,9 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                 own = doc[span]  # in order
                 fresh = np.concatenate([[True], own[1:] != own[:-1]])
                 which, local = own[fresh], np.cumsum(fresh) - 1
-                rows.append((s, pack(ids[which]), pack(twins[which].astype(np.uint32)), pack(trains[which].astype(np.uint8)), pack(np.diff(local, prepend=0).astype(np.uint16)), pack(u[span]), pack(codes[span])))
+                rows.append((s, sender, pack(ids[which]), pack(twins[which].astype(np.uint32)), pack(trains[which].astype(np.uint8)), pack(np.diff(local, prepend=0).astype(np.uint16)), pack(u[span]), pack(codes[span])))
             cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32())] + [pa.array(c, pa.binary()) for c in cols[1:]], ["shard", "ids", "twins", "trains", "docs", "contexts", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64())] + [pa.array(c, pa.binary()) for c in cols[2:]], ["shard", "sender", "ids", "twins", "trains", "docs", "contexts", "tokens"])
 
         for batch in slices(batches, 1000):
             ids, texts = id_and_bytes(batch)
@@ -388,6 +390,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                 yield flush()
                 held.clear()
                 size = 0
+                sender += 1
         if held:
             yield flush()
 
@@ -398,7 +401,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         ids = each("ids", "<i8")
         ahead = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
         doc = np.concatenate([np.cumsum(x, dtype=np.int64) + a for x, a in zip(each("docs", "<u2"), ahead, strict=False)])
-        twins, trains = np.concatenate(each("twins", "<u4")).astype(np.int64), np.concatenate(each("trains", "u1"))
+        trains = np.concatenate(each("trains", "u1"))
         u, w = np.concatenate(each("contexts", "<i8")), np.concatenate(each("tokens", "<i8"))
         # sampled over the sorted counts, so the order in which blocks came doesn't matter
         p, parent = np.empty(len(u)), ((mixed(u, 11) >> np.uint64(32)) % np.uint64(PARENTS)).astype(np.uint8)
@@ -407,11 +410,20 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             if len(own):
                 p[own] = shard_probabilities(u[own], w[own], trains[doc[own]].astype(bool), shared.value, quota, key[0].as_py() * PARENTS + n)
         sums = np.bincount(doc, np.log10(p), int(ahead[-1]))
-        ids = np.concatenate(ids)
-        return pa.table({"id": pa.array(ids, mask=ids == np.iinfo(np.int64).min), "twin": pa.array(twins), "part": pa.array(sums)})
-
-    blocks = rows.mapInArrow(sent, "shard int, ids binary, twins binary, trains binary, docs binary, contexts binary, tokens binary")
-    modelled = blocks.groupBy("shard").applyInArrow(seated, "id long, twin long, part double").groupBy("id", "twin").agg(F.sum("part").alias("score"))
+        parts = [pack(sums[a:b]) for a, b in zip(ahead[:-1], ahead[1:], strict=True)]
+        return pa.table({"sender": table.column("sender"), "ids": table.column("ids"), "twins": table.column("twins"), "parts": pa.array(parts, pa.binary())})
+
+    def summed(table: pa.Table) -> pa.Table:
+        ids, twins, parts = (np.concatenate([unpack(x, kind) for x in table.column(k).to_pylist()]) for k, kind in (("ids", "<i8"), ("twins", "<u4"), ("parts", "<f8")))
+        order = np.lexsort((parts, twins, ids))
+        ids, twins, parts = ids[order], twins[order].astype(np.int64), parts[order]
+        first = np.nonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (twins[1:] != twins[:-1])]))[0]
+        own = ids[first]
+        return pa.table({"id": pa.array(own, mask=own == np.iinfo(np.int64).min), "twin": pa.array(twins[first]), "part": pa.array(np.add.reduceat(parts, first))})
+
+    blocks = rows.mapInArrow(sent, "shard int, sender long, ids binary, twins binary, trains binary, docs binary, contexts binary, tokens binary")
+    parts_of = blocks.groupBy("shard").applyInArrow(seated, "sender long, ids binary, twins binary, parts binary")
+    modelled = parts_of.groupBy("sender").applyInArrow(summed, "id long, twin long, part double").groupBy("id", "twin").agg(F.sum("part").alias("score"))
     both = plainly.alias("a").join(modelled.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.twin") == F.col("b.twin")))
     one = lambda c: (F.col(c) / F.col("same")).alias(c)  # noqa: E731  rows that are wholly the same were summed
     whole = lambda c: F.expr(f"{c} div same").alias(c)
