@@ -451,3 +451,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     around = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(lambda mine, flags: surroundings(mine, flags), block)
     spans = around.groupBy("shard").applyInArrow(lambda table: decided(table), "batch int, rows binary, starts binary, ends binary")
     return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(removed, "id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with the removed bytes taken out of their texts, all other columns as they were but n_chars, which follows the text.
+
+    A character of which only some bytes are removed is removed as a whole. Documents of which nothing is left have an empty
+    text; null texts stay null. Rows are matched by id and text, so repeated rows stay repeated.
+    """
+    spans = repeated_spans(docs, id_col, text_col, length, gram).where("n_removed > 0")
+    changed = spans.select(F.col("id").alias("_id"), F.xxhash64("text").alias("_hash"), F.octet_length("text").alias("_size"), _decoded(F.col("text"), F.col("starts"), F.col("ends")).alias("_kept"))
+    changed = changed.groupBy("_id", "_hash", "_size").agg(F.first("_kept").alias("_kept"))
+    same = (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("_hash")) & (F.octet_length(docs[text_col]) == F.col("_size"))
+    joined = docs.join(changed, same, "left")
+    text = F.coalesce("_kept", docs[text_col])
+    out = {text_col: text}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
+    return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
+
+
+def _decoded(text, starts, ends):
+    """A pandas UDF call: the text without the spans, and without what is left of characters they cut."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([b"".join(bytes(t)[a:b] for a, b in zip([0, *e], [*s, len(t)], strict=True)).decode("utf-8", "ignore") for t, s, e in zip(texts, starts, ends, strict=True)])
+
+    return cut_out(text, starts, ends)

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolake.llm import quality, simhash, toxicity
+from chronolake.llm import packing, quality, simhash, suffixes, toxicity
 from chronolake.llm.common import ensure_checkpoint_dir, fold_of, table
+from chronolake.llm.queries import tokenizer_file
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +28,23 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_first(docs)
 
 
-STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage)]
+def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings that earlier documents have; n_chars follows the text."""
+    return suffixes.without_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of what is left lies in the packed sequences."""
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("repeated_passages", repeated_passage_stage),
+    ("packing", packing_stage),
+]
 #: The learned and hashed stages are beyond SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
 
