@@ -450,3 +450,6 @@ def version_diff(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     other = orders.where("o_orderkey % 21 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 22 == 0, F.lit("Z")).otherwise(F.col("o_orderstatus")))
     return compare.by_key(orders.where("o_orderkey % 20 <> 0"), other, ["o_orderkey"])
+
+
+from chronolake import analytics  # noqa: E402, F401  registers its queries here
