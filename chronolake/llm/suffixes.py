@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -247,25 +248,34 @@ def _sort_part(there: np.ndarray, where: np.ndarray, begin: np.ndarray, left: np
     out[row, off] = np.repeat(least, np.diff(np.append(starts, len(row))))
 
 
-def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
-    """Ids and texts of a batch of documents in an order that doesn't depend on how they arrived."""
+def _rows(table: pa.Table) -> tuple[list[int | None], list[bytes], list[int]]:
+    """Ids and texts of a batch of documents in an order that doesn't depend on how they arrived, and that order."""
     ids, texts = table.column("id").to_pylist(), [t or b"" for t in table.column("text").to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    return [ids[i] for i in order], [texts[i] for i in order], order
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(id, text, kept, n_removed, n_spans, starts, ends): text as bytes, and what is left of it when each byte covered by
+def _nullable(column: pa.ChunkedArray) -> pa.Array:
+    """A struct column whose fields may all be null, as Spark's schemas have them."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    return pa.StructArray.from_arrays(whole.flatten(), fields=[pa.field(f.name, f.type) for f in whole.type])
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+    """(id, text, kept, n_removed, n_spans, starts, ends, carried): text as bytes, and what is left of it when each byte covered by
     a string of length bytes that also starts in a document with a smaller id is removed; starts and ends of the
-    removed runs.
+    removed runs; carried is a struct of the columns named in carry, by their places there.
 
     Strings are judged on the input. Null texts are empty; texts shorter than length are kept whole. Rows with one id
     never remove from each other; a row with a null id is kept whole and removes nothing. Repeated rows each have their
-    row. An empty table gives an empty result. Other columns of docs are not read.
+    row. An empty table gives an empty result. Columns other than the id's, the text's and
+    carry's are not read.
     """
     total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     shards = batches = max(16, -(-total // SHARD_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), F.struct(F.lit(True).alias("here"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry or [])]).alias("carried"))
+    carried = rows.schema["carried"].dataType.simpleString()
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("id", F.when(F.col("id").isNull(), F.crc32("text"))), F.lit(batches)).cast("int"))
 
     def sent(incoming: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +338,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     @uncollected
     def surroundings(mine: pa.Table, flags: pa.Table) -> pa.Table:
-        ids, texts = _rows(mine)
+        ids, texts, _ = _rows(mine)
         names = ("hashes", "docs", "rows", "at", "which", "left", "sizes", "data", "local")
         out: dict[str, list] = {k: [] for k in ("shard", "batch", *names)}
         known = np.concatenate([np.zeros(0, np.uint64), *[np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in flags.column("hashes").to_pylist()]])
@@ -429,7 +439,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"batch": pa.array(full, pa.int32()), **blocks})
 
     def removed(mine: pa.Table, spans: pa.Table) -> pa.Table:
-        ids, texts = _rows(mine)
+        ids, texts, order_in = _rows(mine)
         row, s, e = (np.concatenate([np.zeros(0, np.int64), *[unpack(x, "<u4").astype(np.int64) for x in spans.column(k).to_pylist()]]) for k in ("rows", "starts", "ends"))
         order = np.lexsort((s, row))
         row, s, e = row[order], s[order], e[order]
@@ -444,39 +454,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             kept.append(b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True)))
         gone = [len(t) - len(k) for t, k in zip(texts, kept, strict=True)]
         columns = (("id", ids, pa.int64()), ("text", texts, pa.binary()), ("kept", kept, pa.binary()), ("n_removed", gone, pa.int64()), ("n_spans", [len(a) for a in starts], pa.int64()), ("starts", starts, pa.list_(pa.int64())), ("ends", ends, pa.list_(pa.int64())))
-        return pa.table({k: pa.array(v, t) for k, v, t in columns})
+        return pa.table({k: pa.array(v, t) for k, v, t in columns} | {"carried": _nullable(mine.column("carried").take(pa.array(order_in, pa.int64())))})
 
     flags = rows.select("id", "text", "batch").mapInArrow(sent, "shard int, hashes binary, batches binary, docs binary").groupBy("shard").applyInArrow(shared, "batch int, hashes binary, hot binary")
     block = "shard int, batch int, hashes binary, docs binary, rows binary, at binary, which binary, left binary, sizes binary, data binary, local binary"
     around = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(lambda mine, flags: surroundings(mine, flags), block)
     spans = around.groupBy("shard").applyInArrow(lambda table: decided(table), "batch int, rows binary, starts binary, ends binary")
-    return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(removed, "id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>")
+    return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(removed, f"id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>, carried {carried}")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with the removed bytes taken out of their texts, all other columns as they were but n_chars, which follows the text.
 
     A character of which only some bytes are removed is removed as a whole. Documents of which nothing is left have an empty
-    text; null texts stay null. Rows are matched by id and text, so repeated rows stay repeated.
+    text, and so have null ones. Repeated rows stay repeated.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram).where("n_removed > 0")
-    changed = spans.select(F.col("id").alias("_id"), F.xxhash64("text").alias("_hash"), F.octet_length("text").alias("_size"), _decoded(F.col("text"), F.col("starts"), F.col("ends")).alias("_kept"))
-    changed = changed.groupBy("_id", "_hash", "_size").agg(F.first("_kept").alias("_kept"))
-    same = (docs[id_col] == F.col("_id")) & (F.xxhash64(docs[text_col].cast("binary")) == F.col("_hash")) & (F.octet_length(docs[text_col]) == F.col("_size"))
-    joined = docs.join(changed, same, "left")
-    text = F.coalesce("_kept", docs[text_col])
-    out = {text_col: text}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_kept").isNotNull(), F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])
-    return joined.select(*[out[c].alias(c) if c in out else docs[c] for c in docs.columns])
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    found = repeated_spans(docs, id_col, text_col, length, gram, others)
+    text = F.when(F.col("n_removed") > 0, _decoded(F.col("text"), F.col("starts"), F.col("ends"))).otherwise(F.col("text").cast("string"))
+    out = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: text} | {c: F.col(f"carried.c{i}") for i, c in enumerate(others)}
+    if "n_chars" in others:
+        out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return found.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def _decoded(text, starts, ends):
     """A pandas UDF call: the text without the spans, and without what is left of characters they cut."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([b"".join(bytes(t)[a:b] for a, b in zip([0, *e], [*s, len(t)], strict=True)).decode("utf-8", "ignore") for t, s, e in zip(texts, starts, ends, strict=True)])
 
