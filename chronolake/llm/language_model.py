@@ -8,7 +8,8 @@ leaves and is seated anew, given all other seats of its restaurant. A token's pr
 after burn-in.
 
 A context that makes up much of a shard is split by its tokens' hash into several restaurants, each weighed with the share
-of its tokens; so the distribution stays proper and no shard gets a hot context whole. Discount and strength of each level
+of its tokens; so the distribution stays proper (rare tokens' mass counts as evenly spread over the parts) and no shard gets
+a hot context whole. Discount and strength of each level
 are chosen per shard (and per size of restaurant) by the leave-one-out likelihood of the training customers.
 
 Shards get (context, token, document) as compressed blocks, one for each sender; documents get the sums of their parts.

@@ -61,7 +61,10 @@ def fitting_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colum
 
 
 def fit_in_one_task(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray], bytes]) -> bytes:
-    """What fit makes of the bounded sample, worked out on an executor; rows come in the order of a hash of the id."""
+    """What fit makes of the bounded sample, worked out on an executor; rows come in the order of a hash of the id.
+
+    An empty sample has no task there; what fit makes of nothing is worked out here.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, ys = [], []
@@ -71,4 +74,5 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list[bytes], np.ndarray],
         yield pa.RecordBatch.from_arrays([pa.array([fit(texts, np.array(ys, np.float64))], pa.binary())], ["model"])
 
     ordered = sample.select("id", "text", "y").repartition(1).sortWithinPartitions(F.xxhash64("id", F.lit("order")), "id")
-    return bytes(ordered.mapInArrow(run, "model binary").first()[0])
+    model = ordered.mapInArrow(run, "model binary").first()
+    return bytes(model[0]) if model else fit([], np.zeros(0))
