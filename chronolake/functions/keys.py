@@ -35,9 +35,9 @@ def in_range(pk: Column, low: int | None = None, high: int | None = None) -> Col
     number = F.when(is_canonical_integer(pk), pk.try_cast("decimal(20,0)"))
     cond = number.isNotNull()
     if low is not None:
-        cond &= number >= F.lit(low).cast("decimal(20,0)")
+        cond &= number >= F.lit(str(low)).cast("decimal(20,0)")
     if high is not None:
-        cond &= number <= F.lit(high).cast("decimal(20,0)")
+        cond &= number <= F.lit(str(high)).cast("decimal(20,0)")
     return F.coalesce(cond, F.lit(False))
 
 

@@ -25,7 +25,7 @@ def tuples(line: str) -> Iterator[list[str | None]]:
             inside = ch == "("
             row, cell, quoted = [], "", False
         elif ch == "'":
-            quoted, at = True, at + 1
+            cell, quoted, at = "", True, at + 1
             while line[at] != "'" or line[at : at + 2] == "''":
                 if line[at] == "\\":
                     cell += _ESCAPES.get(line[at + 1], line[at + 1])
@@ -39,7 +39,7 @@ def tuples(line: str) -> Iterator[list[str | None]]:
             if ch == ")":
                 inside = False
                 yield row
-        else:
+        elif not quoted:
             cell += ch
         at += 1
 
