@@ -46,7 +46,8 @@ class Words:
     is much faster; anything else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -89,7 +90,7 @@ class Words:
 
     @uncollected
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > self.most:
             self.known.clear()
             self.pieces = {"": b""}
         words = [t.split() for t in texts]
@@ -98,12 +99,12 @@ class Words:
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
-@lru_cache(2)
-def words_of(path: str) -> Words:
-    return Words(path)
+@lru_cache(1)
+def words_of(path: str, most: int = KNOWN_WORDS) -> Words:
+    return Words(path, most)
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, window: int = WINDOW, size: int = 1 << 16) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, window: int = WINDOW, known_words: int = KNOWN_WORDS, size: int = 1 << 16) -> DataFrame:
     """(doc_id, doc_tokens, last, ids): each document's ids with end_id after them, as 16-bit integers in a binary. last
     is the greatest id after the document's whole windows, -1 if nothing is left there.
 
@@ -116,7 +117,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         names, seen, there = ["doc_id", "doc_tokens", "last", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), bool)
         for batch in slices(batches, 1000):
             keys, texts = id_and_bytes(batch)
-            ids = [c + end for c in words_of(path).encode(texts)]
+            ids = [c + end for c in words_of(path, known_words).encode(texts)]
             lengths = np.array([len(c) // 2 for c in ids], np.int64)
             for low in range(0, len(ids), 64):
                 there[:] = False
@@ -234,15 +235,16 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, known_words: int = KNOWN_WORDS) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Whole windows of a document are sequences of their own; what is left of it, shorter than a window, is packed with
     its neighbours. A sequence is a full window, or else its length is a power of two, so nothing is padded. Null and
     empty texts are the end id alone. Repeated rows, and rows with the same or a null id, are packed each for itself.
     An empty table gives no pieces. Other columns of docs are not read. The tokenizer's ids must be below 2^16.
+    known_words bounds the words that an executor's process keeps encoded, and so its memory.
     """
-    tokens = written(tokenized(docs, path, id_col, text_col, end_id, window), "tokens")
+    tokens = written(tokenized(docs, path, id_col, text_col, end_id, window, known_words), "tokens")
     frequency, n, mean = document_frequencies(tokens)
     tokens = tokens.where("doc_tokens > 0")
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
