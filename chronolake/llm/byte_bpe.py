@@ -47,29 +47,30 @@ def rank_map(ranks: dict[bytes, int]) -> str:
 
 
 def fold(word: str, ranks: dict[bytes, int]) -> str:
-    """SQL for the ids of the array of bytes word. Its state is the pieces' ids and the ranks of neighbouring pairs.
+    """SQL for the ids of the array of bytes word.
 
-    Where a word is one token as a whole, its merges lead there as well, as they do for the tokens of a trained vocabulary.
+    The state has an element for each piece: the rank of the pair that begins there (also the id of that pair's piece), above
+    16 bits of its own id. The smallest element is the next merge, of equal ones the first. Where a word is one token as a
+    whole, its merges lead there as well, as they do for the tokens of a trained vocabulary.
     """
-    table = rank_map(ranks)
     first = "array(" + ",".join(f"{ranks[bytes([b])]}L" for b in range(256)) + ")"
-    empty = "cast(array() as array<bigint>)"
-
-    def rank(left: str, right: str) -> str:
-        bucket = f"get({table_name}, cast(({left} * 40503 + {right} * 30011) % {BUCKETS} as int))"
-        return f"get({bucket}, cast(array_position({bucket}, -1 - ({left} * 65536 + {right})) as int))"
-
-    table_name = "rank_table"
-    merged = f"""transform(array(cast(array_position(s.r, array_min(s.r)) as int)), p -> named_struct(
-        'p', concat(slice(s.p, 1, p - 1), array(get(s.r, p - 1)), slice(s.p, p + 2, size(s.p))),
-        'r', concat(slice(s.r, 1, greatest(p - 2, 0)),
-          if(p > 1, array({rank("get(s.p, p - 2)", "get(s.r, p - 1)")}), {empty}),
-          if(p + 1 < size(s.p), array({rank("get(s.r, p - 1)", "get(s.p, p + 1)")}), {empty}),
-          slice(s.r, p + 2, size(s.p)))))[0]"""
-    start = f"""transform(array(transform({word}, b -> get({first}, b))), q -> named_struct('p', q,
-        'r', zip_with(slice(q, 1, size(q) - 1), slice(q, 2, size(q)), (a, b) -> {rank("a", "b")})))[0]"""
-    steps = f"aggregate(sequence(1, greatest(size({word}) - 1, 1)), {start}, (s, i) -> if(array_min(s.r) < {_NONE}, {merged}, s), s -> s.p)"
-    return steps.replace(table_name, table)
+    empty, none = "cast(array() as array<bigint>)", f"{_NONE}L"
+    own = lambda x: f"({x} & 65535)"
+
+    def element(piece: str, following: str, there: str) -> str:
+        bucket = f"get(rank_table, cast(({piece} * 40503 + {following} * 30011) & {BUCKETS - 1} as int))"
+        rank = f"get({bucket}, cast(array_position({bucket}, -1 - ({piece} * 65536 + {following})) as int))"
+        return f"shiftleft(if({there}, {rank}, {none}), 16) | {piece}"
+
+    new = "shiftright(get(s, p - 1), 16)"
+    merged = f"""transform(array(cast(array_position(s, array_min(s)) as int)), p -> concat(
+        if(p > 1, slice(s, 1, greatest(p - 2, 0)), {empty}),
+        if(p > 1, array({element(own("get(s, p - 2)"), new, "true")}), {empty}),
+        array({element(new, own("get(s, p + 1)"), "p + 1 < size(s)")}),
+        slice(s, p + 2, size(s))))[0]"""
+    start = f"transform(array(transform({word}, b -> get({first}, b))), q -> transform(q, (a, i) -> {element('a', 'get(q, i + 1)', 'i + 1 < size(q)')}))[0]"
+    folded = f"aggregate(sequence(1, greatest(size({word}) - 1, 1)), {start}, (s, i) -> if(array_min(s) < {_NONE << 16}L, {merged}, s))"
+    return f"transform({folded}, x -> x & 65535)".replace("rank_table", rank_map(ranks))
 
 
 class Cutter:
