@@ -412,19 +412,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.minimum.at(least, kind, doc)
         group[kind] = h
         by = np.argsort(group, kind="stable")
-        source = np.empty((len(first), length - gram + 1), np.int64)
-        source[by] = smallest_sources(data, begin[first][by], size[first][by], left[first][by], group[by], least[by], length, gram)
-        spans = []
-        for low in range(0, len(kind), 100_000):
-            part = slice(low, low + 100_000)
-            covered = source[kind[part]] < doc[part, None]
-            hit = np.nonzero(covered.any(1))[0]
-            nearest, farthest = covered[hit].argmax(1), length - gram - covered[hit][:, ::-1].argmax(1)
-            spans.append(np.stack([batch[part][hit], row[part][hit], at[part][hit] - farthest, at[part][hit] - nearest + length], 1))
+        first, least, group = first[by], least[by], group[by]
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        kind = place[kind]
+        order = np.argsort(kind, kind="stable")
+        batch, row, at, doc, kind = batch[order], row[order], at[order], doc[order], kind[order]
+        ends = np.append(np.nonzero(group[1:] != group[:-1])[0] + 1, len(group))
+        spans, low = [], 0
+        while low < len(group):  # some whole groups at a time
+            high = int(ends[min(np.searchsorted(ends, low + 2 * SORT_ROWS), len(ends) - 1)])
+            part, own = slice(low, high), slice(*np.searchsorted(kind, [low, high]))
+            source = smallest_sources(data, begin[first[part]], size[first[part]], left[first[part]], group[part], least[part], length, gram)
+            for some in range(own.start, own.stop, 50_000):
+                x = slice(some, min(some + 50_000, own.stop))
+                covered = source[kind[x] - low] < doc[x, None]
+                hit = np.nonzero(covered.any(1))[0]
+                nearest, farthest = covered[hit].argmax(1), length - gram - covered[hit][:, ::-1].argmax(1)
+                spans.append(np.stack([batch[x][hit], row[x][hit], at[x][hit] - farthest, at[x][hit] - nearest + length], 1))
+            low = high
         for b, x in zip(table.column("batch").to_pylist(), each("local", "<u4"), strict=True):
             x = x.reshape(-1, 3).astype(np.int64)
             spans.append(np.concatenate([np.full((len(x), 1), b), x], 1))
-        b, row, s, e = np.concatenate(spans)[np.lexsort(np.concatenate(spans).T[[2, 1, 0]])].T
+        spans = np.concatenate(spans) if spans else np.zeros((0, 4), np.int64)
+        b, row, s, e = spans[np.lexsort(spans.T[[2, 1, 0]])].T
         if len(b):  # spans that overlap or touch become one; a row's come by their start
             key = b << 32 | row
             new = np.concatenate([[True], key[1:] != key[:-1]])
