@@ -117,11 +117,11 @@ def blocks_of_links(mask: np.ndarray) -> np.ndarray:
         label_r, label_c = new_r, new_c
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as a table in the shared checkpoint folder and read again: what later steps read more than once."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

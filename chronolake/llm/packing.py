@@ -25,14 +25,14 @@ from .common import id_and_bytes, slices, uncollected, written
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 4096
-QUERY_TERMS = 24
+QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 #: Words that an executor's process keeps the ids of; the table is emptied when it holds more.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 1_500_000
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Below this, lower case goes by single characters and no character is changed by normal form C.
 _PLAIN = "\u0250"
@@ -51,7 +51,8 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole, self.lowered, self.merges = (Tokenizer.from_file(path) for _ in range(3))
+        self.lowered.normalizer = None
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.last = np.zeros(1 << 16, bool)  # a word's last id, and no other, is one with the mark of a word's end
         self.last[[i for word, i in self.whole.get_vocab().items() if word.endswith("</w>")]] = True
@@ -69,23 +70,26 @@ class Words:
     def learn(self, fresh: list[bytes]) -> None:
         joined = b"\n".join(fresh).decode("utf-8", "replace")
         texts, low = joined.split("\n"), joined.lower().split("\n")
-        if max(joined) < _PLAIN and "\u0130" not in joined:
+        if max(joined) < _PLAIN and "\u0130" not in joined and "<|" not in joined:
             simple = [True] * len(fresh)
-        else:
-            simple = [max(t) < _PLAIN and "\u0130" not in t for t in texts]
+        else:  # special tokens are told by their case
+            simple = [max(t) < _PLAIN and "\u0130" not in t and "<|" not in t for t in texts]
             low = [t.lower() if s else "" for t, s in zip(texts, simple, strict=True)]
         cores = [t.rstrip(_PUNCTUATION) for t in low]
-        simple = [s and (not c or c.isalpha()) for s, c in zip(simple, cores, strict=True)]
-        other = [x for x, s in zip(zip(fresh, texts, strict=True), simple, strict=True) if not s]
-        plain = [(raw, c, t[len(c) :]) for raw, c, t, s in zip(fresh, cores, low, simple, strict=True) if s]
-        new = {c for _, c, _ in plain}
-        new.update(t for _, _, t in plain)
+        plain = [s and (not c or c.isalpha()) for s, c in zip(simple, cores, strict=True)]
+        self._rest(self.whole, [(raw, t) for raw, t, s in zip(fresh, texts, simple, strict=True) if not s])
+        self._rest(self.lowered, [(raw, t) for raw, t, s, p in zip(fresh, low, simple, plain, strict=True) if s and not p])
+        known = [(raw, c, t[len(c) :]) for raw, c, t, p in zip(fresh, cores, low, plain, strict=True) if p]
+        new = {c for _, c, _ in known}
+        new.update(t for _, _, t in known)
         self._merge(list(new.difference(self.pieces)))
         pieces = self.pieces
-        self.known.update([(raw, pieces[c] + pieces[t]) for raw, c, t in plain])
-        for at in range(0, len(other), 10_000):
-            part = other[at : at + 10_000]
-            coded = self.whole.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+        self.known.update([(raw, pieces[c] + pieces[t]) for raw, c, t in known])
+
+    def _rest(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            coded = tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
             self.known.update((raw, np.array(c.ids, "<u2").tobytes()) for (raw, _), c in zip(part, coded, strict=True))
 
     @uncollected
@@ -176,6 +180,11 @@ class Shard:
         scores = np.bincount(docs, np.concatenate([self.post_weight[s] for s in spans]), minlength=len(self.unused))
         scores[~self.unused] = 0
         found = np.nonzero(scores)[0]
+        if len(found) > 32:  # a window mostly takes few: those first
+            least = np.partition(scores[found], -8)[-8]
+            top = found[scores[found] >= least]
+            yield from top[np.lexsort((top, -scores[top]))].tolist()
+            found = found[scores[found] < least]
         yield from found[np.lexsort((found, -scores[found]))].tolist()
 
 
@@ -244,7 +253,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     An empty table gives no pieces. Other columns of docs are not read. The tokenizer's ids must be below 2^16.
     known_words bounds the words that an executor's process keeps encoded, and so its memory.
     """
-    tokens = written(tokenized(docs, path, id_col, text_col, end_id, window, known_words), "tokens")
+    tokens = written(tokenized(docs, path, id_col, text_col, end_id, window, known_words), "tokens", "snappy")
     frequency, n, mean = document_frequencies(tokens)
     tokens = tokens.where("doc_tokens > 0")
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
