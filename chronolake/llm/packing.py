@@ -86,6 +86,9 @@ class Words:
         pieces = self.pieces
         self.known.update([(raw, pieces[c] + pieces[t]) for raw, c, t in known])
 
+    def forget(self) -> None:
+        self.known, self.pieces = {}, {"": b""}
+
     def _rest(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
@@ -95,8 +98,7 @@ class Words:
     @uncollected
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known.clear()
-            self.pieces = {"": b""}
+            self.forget()
         words = [t.split() for t in texts]
         if fresh := list(set().union(*words).difference(self.known)):
             self.learn(fresh)
@@ -130,6 +132,8 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             seen[size:] += len(ids), lengths.sum()
             last = [int(np.frombuffer(c, "<u2")[n - n % window :].max(initial=0)) if n % window else -1 for c, n in zip(ids, lengths.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([keys, pa.array(lengths), pa.array(last, pa.int32()), pa.array(ids, pa.binary())], names)
+        if known_words < KNOWN_WORDS:
+            words_of(path, known_words).forget()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, doc_tokens long, last int, ids binary")
@@ -251,7 +255,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     its neighbours. A sequence is a full window, or else its length is a power of two, so nothing is padded. Null and
     empty texts are the end id alone. Repeated rows, and rows with the same or a null id, are packed each for itself.
     An empty table gives no pieces. Other columns of docs are not read. The tokenizer's ids must be below 2^16.
-    known_words bounds the words that an executor's process keeps encoded, and so its memory.
+    known_words bounds the words that an executor's process keeps encoded, and so its memory; below the default they are
+    forgotten after each task.
     """
     tokens = written(tokenized(docs, path, id_col, text_col, end_id, window, known_words), "tokens", "snappy")
     frequency, n, mean = document_frequencies(tokens)
