@@ -46,6 +46,14 @@ def uncollected(f: Callable) -> Callable:
     return run
 
 
+def runs(ids: np.ndarray) -> list[tuple[int, slice]]:
+    """The different values of a sorted array, each with the stretch that has it."""
+    if not len(ids):
+        return []
+    starts = np.concatenate([[0], np.nonzero(ids[1:] != ids[:-1])[0] + 1])
+    return [(int(ids[a]), slice(int(a), int(b))) for a, b in zip(starts, np.append(starts[1:], len(ids)), strict=True)]
+
+
 def fold_of(id_col: str, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices, uncollected, written
+from .common import id_and_bytes, runs, slices, uncollected, written
 from .suffixes import pack, unpack
 
 #: Most entries of the table of frequent tokens that every task gets (12 bytes each).
@@ -370,10 +370,9 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             key = mixed(u) ^ mixed(bucket(codes, v.parts(u, quota)), 3)
             shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            full, rows = np.nonzero(np.diff(cuts))[0], []
-            for s in full.tolist():
-                span = order[cuts[s] : cuts[s + 1]]
+            rows = []
+            for s, own in runs(shard[order]):
+                span = order[own]
                 own = doc[span]  # in order
                 fresh = np.concatenate([[True], own[1:] != own[:-1]])
                 which, local = own[fresh], np.cumsum(fresh) - 1

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices, uncollected
+from .common import id_and_bytes, runs, slices, uncollected
 
 LENGTH = 50
 GRAM = 26
@@ -297,9 +297,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             h, batch = h[first], np.sort(of)[text[first]]
             starts = np.nonzero(~np.concatenate([[False], (h[1:] == h[:-1]) & (batch[1:] == batch[:-1])]))[0]
             h, batch, many = h[starts], batch[starts].astype(np.uint32), np.diff(np.append(starts, len(h))).astype(np.uint16)
-            cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-            full = np.nonzero(np.diff(cuts))[0]
-            spans = [slice(cuts[s], cuts[s + 1]) for s in full]
+            parts = runs(shard_of(h, shards))
+            full, spans = [s for s, _ in parts], [x for _, x in parts]
             columns = [[pack(np.diff(h[x], prepend=np.uint64(0))) for x in spans], [pack(batch[x]) for x in spans], [pack(many[x]) for x in spans]]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32())] + [pa.array(c, pa.binary()) for c in columns], ["shard", "hashes", "batches", "docs"])
 
@@ -330,9 +329,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         h, batch, hot = h[flagged], batch[flagged], there[flagged] > HOT_DOCS
         order = np.lexsort((h, batch))
         h, batch, hot = h[order], batch[order], hot[order]
-        cuts = np.searchsorted(batch, np.arange(batches + 1))
-        full = np.nonzero(np.diff(cuts))[0]
-        spans = [slice(cuts[b], cuts[b + 1]) for b in full]
+        parts = runs(batch)
+        full, spans = [b for b, _ in parts], [x for _, x in parts]
         columns = {"hashes": [pack(np.diff(h[x], prepend=np.uint64(0))) for x in spans], "hot": [pack(hot[x].view(np.uint8)) for x in spans]}
         return pa.table({"batch": pa.array(full, pa.int32())} | {k: pa.array(v, pa.binary()) for k, v in columns.items()})
 
@@ -376,9 +374,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.lexsort((number, h))
             h, number, row, at = h[order], number[order], row[order], at[order]
             numbers = np.array(doc, np.int64)[row]
-            cuts = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
-            for n, s in enumerate(np.nonzero(np.diff(cuts))[0].tolist()):
-                x = slice(cuts[s], cuts[s + 1])
+            for n, (s, x) in enumerate(runs(shard_of(h, shards))):
                 own, which = np.unique(number[x], return_inverse=True)
                 strings = [keys[i] for i in own.tolist()]
                 columns = [np.diff(h[x], prepend=np.uint64(0)), numbers[x], row[x], at[x], which.astype(np.uint32), np.array([k for k, _ in strings], np.uint16), np.array([len(k) for _, k in strings], np.uint16)]
@@ -444,9 +440,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             end = np.maximum.accumulate(e + shift) - shift
             starts = np.nonzero(new | np.concatenate([[True], s[1:] > end[:-1]]))[0]
             b, row, s, e = b[starts], row[starts], s[starts], end[np.append(starts[1:], len(end)) - 1]
-        cuts = np.searchsorted(b, np.arange(batches + 1))
-        full = np.nonzero(np.diff(cuts))[0]
-        blocks = {k: pa.array([pack(x[cuts[i] : cuts[i + 1]].astype(np.uint32)) for i in full], pa.binary()) for k, x in (("rows", row), ("starts", s), ("ends", e))}
+        parts = runs(b)
+        full = [i for i, _ in parts]
+        blocks = {k: pa.array([pack(x[own].astype(np.uint32)) for _, own in parts], pa.binary()) for k, x in (("rows", row), ("starts", s), ("ends", e))}
         return pa.table({"batch": pa.array(full, pa.int32()), **blocks})
 
     def removed(mine: pa.Table, spans: pa.Table) -> pa.Table:
