@@ -31,7 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def uncollected(f: Callable) -> Callable:
-    """f with the cycle collector off: it makes many small objects and no cycles, and collections would walk them all."""
+    """f with the cycle collector off: it makes many small objects and no cycles, and collections would walk them all.
+
+    Afterwards Arrow's free memory goes back to the system, as other processes of the executor need it.
+    """
 
     @functools.wraps(f)
     def run(*args, **kwargs):
@@ -42,6 +45,7 @@ def uncollected(f: Callable) -> Callable:
         finally:
             if was:
                 gc.enable()
+            pa.default_memory_pool().release_unused()
 
     return run
 

@@ -35,6 +35,8 @@ GRAM = 26
 SHARD_BYTES = 4 << 20
 #: Documents with one anchor, beyond which its strings are dealt by their own hashes.
 HOT_DOCS = 20_000
+#: Bytes whose anchors are worked out at once.
+PIECE = 256 << 10
 #: Surroundings whose suffixes are sorted at once.
 SORT_ROWS = 5_000
 #: Bytes of text whose anchors a sender gathers before it sends them.
@@ -61,7 +63,42 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, position, hash) of the anchors of all strings of length bytes in these texts."""
+    """(text number, position, hash) of the anchors of all strings of length bytes in these texts.
+
+    Worked on in stretches of about PIECE bytes: short texts together, long ones in parts that overlap so that each string
+    is wholly in one.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[int, int, bytes]] = []
+    size, cut = 0, False
+
+    def flush() -> None:
+        part, pos, h = _anchors([t for _, _, t in held], length, gram)
+        number, start = np.array([(n, at) for n, at, _ in held], np.int64).T
+        found.append((number[part], pos + start[part], h))
+
+    for n, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), PIECE):
+            held.append((n, at, text[at : at + PIECE + length - 1] if len(text) > PIECE else text))
+            size += len(held[-1][2])
+            cut |= at > 0
+            if size >= PIECE:
+                flush()
+                held, size = [], 0
+    if held:
+        flush()
+    if not found:
+        return _anchors([], length, gram)
+    number, pos, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    if cut:  # an anchor of strings in two parts was found twice
+        order = np.lexsort((pos, number))
+        number, pos, h = number[order], pos[order], h[order]
+        once = np.concatenate([[True], (number[1:] != number[:-1]) | (pos[1:] != pos[:-1])]) if len(h) else np.zeros(0, bool)
+        number, pos, h = number[once], pos[once], h[once]
+    return number, pos, h
+
+
+def _anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)

@@ -243,9 +243,10 @@ def brute_repeats(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffixes(docs, empty, monkeypatch, hot):
+@pytest.mark.parametrize("hot, piece", [(20_000, 1 << 18), (1, 1 << 18), (20_000, 70)])
+def test_suffixes(docs, empty, monkeypatch, hot, piece):
     monkeypatch.setattr(suffixes, "HOT_DOCS", hot)
+    monkeypatch.setattr(suffixes, "PIECE", piece)
     found = suffixes.repeated_spans(docs).select("id", F.octet_length("text"), "n_removed", "n_spans", F.sha2("kept", 256)).collect()
     assert Counter(map(tuple, found)) == brute_repeats(texts())
     assert suffixes.repeated_spans(empty).count() == 0
