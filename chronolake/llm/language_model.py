@@ -386,7 +386,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             twin = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
             held.append((ids.fill_null(np.iinfo(np.int64).min).to_numpy(), twin, batch.column(2).to_numpy(zero_copy_only=False), sizes, codes))
             size += len(codes)
-            if size > 3_000_000 or len(held) >= 60:
+            if size > 2_000_000 or len(held) >= 60:
                 yield flush()
                 held.clear()
                 size = 0
@@ -394,6 +394,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         if held:
             yield flush()
 
+    @uncollected
     def seated(key: tuple, table: pa.Table) -> pa.Table:
         def each(name: str, kind: str) -> list[np.ndarray]:
             return [unpack(x, kind) for x in table.column(name).to_pylist()]
@@ -422,7 +423,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         return pa.table({"id": pa.array(own, mask=own == np.iinfo(np.int64).min), "twin": pa.array(twins[first]), "part": pa.array(np.add.reduceat(parts, first))})
 
     blocks = rows.mapInArrow(sent, "shard int, sender long, ids binary, twins binary, trains binary, docs binary, contexts binary, tokens binary")
-    parts_of = blocks.groupBy("shard").applyInArrow(seated, "sender long, ids binary, twins binary, parts binary")
+    parts_of = blocks.groupBy("shard").applyInArrow(lambda key, table: seated(key, table), "sender long, ids binary, twins binary, parts binary")
     modelled = parts_of.groupBy("sender").applyInArrow(summed, "id long, twin long, part double").groupBy("id", "twin").agg(F.sum("part").alias("score"))
     both = plainly.alias("a").join(modelled.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.twin") == F.col("b.twin")))
     one = lambda c: (F.col(c) / F.col("same")).alias(c)  # noqa: E731  rows that are wholly the same were summed
