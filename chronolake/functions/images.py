@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed value: the marker of a value that the source did not send.
-UNCHANGED = "__bintrail_unchanged_toast__"
+#: The one key of the object that stands for a value that the source did not send.
+UNCHANGED = "__unchanged__"
 _NAME = re.compile(r"[A-Za-z0-9_]+")
 
 
@@ -45,13 +45,13 @@ def column_equals(before: Column, after: Column, name: str, value: str) -> Colum
     return F.coalesce(text(before, name) == value, F.lit(False)) | F.coalesce(text(after, name) == value, F.lit(False))
 
 
-def is_unchanged_marker(image: Column, name: str) -> Column:
-    return F.coalesce(F.try_variant_get(F.try_parse_json(image), f"$.{checked(name)}.{UNCHANGED}", "boolean"), F.lit(False))
+def is_unchanged_marker(image: Column, name: str, marker: str = UNCHANGED) -> Column:
+    return F.coalesce(F.try_variant_get(F.try_parse_json(image), f"$.{checked(name)}.{checked(marker)}", "boolean"), F.lit(False))
 
 
-def has_marker(image: Column) -> Column:
+def has_marker(image: Column, marker: str = UNCHANGED) -> Column:
     """Whether any value of the image was not sent; such an image can't be applied as a whole row."""
-    return F.coalesce(F.contains(image, F.lit(f'"{UNCHANGED}"')), F.lit(False))
+    return F.coalesce(F.contains(image, F.lit(f'"{marker}"')), F.lit(False))
 
 
 def redacted(image: Column, columns: list[str]) -> Column:

@@ -18,7 +18,7 @@ _LIMIT = r"(?:\s+LIMIT\s+(?P<limit>\d+))?\s*;?\s*$"
 _AS_OF = re.compile(rf"\s*SELECT\s+(?P<columns>.+?)\s+FROM\s+_(?P<kind>flashback|snapshot)\.{_NAME}\s+AS\s+OF\s+(?P<at>'[^']*'){_WHERE}{_LIMIT}", re.I | re.S)
 _TRAILING = re.compile(rf"\s*SELECT\s+(?P<columns>.+?)\s+FROM\s+_(?P<kind>flashback|snapshot)\.{_NAME}{_WHERE}\s+AS\s+OF\s+(?P<at>'[^']*'){_LIMIT}", re.I | re.S)
 _DIFF = re.compile(rf"\s*SELECT\s+(?P<columns>.+?)\s+FROM\s+_(?P<kind>diff)\.{_NAME}\s+BETWEEN\s+(?P<since>'[^']*')\s+AND\s+(?P<at>'[^']*'){_WHERE}{_LIMIT}", re.I | re.S)
-_HINT = re.compile(rf"\s*SELECT\s*/\*\+\s*(?:DBTRAIL_AT|AT)\s*=\s*(?P<at>'[^']*')\s*\*/\s*(?P<columns>.+?)\s+FROM\s+{_NAME}{_WHERE}{_LIMIT}", re.I | re.S)
+_HINT = re.compile(rf"\s*SELECT\s*/\*\+\s*(?:[A-Z]+_)?AT\s*=\s*(?P<at>'[^']*')\s*\*/\s*(?P<columns>.+?)\s+FROM\s+{_NAME}{_WHERE}{_LIMIT}", re.I | re.S)
 
 
 @dataclass(frozen=True)

@@ -220,9 +220,9 @@ def contiguous_ranges(spark, sf_dir):
 
 
 @query("""+laid as (select *, cast(event_timestamp as date) as event_date, cast(extract(hour from event_timestamp) as integer) as event_hour from log)
-select 'src' as bintrail_id, cast(event_date as varchar) as event_date, event_hour, count(*) as rows, min(event_timestamp) as min_ts, max(event_timestamp) as max_ts, max(event_id) as max_id from laid group by all""")
+select 'src' as source_id, cast(event_date as varchar) as event_date, event_hour, count(*) as rows, min(event_timestamp) as min_ts, max(event_timestamp) as max_ts, max(event_id) as max_id from laid group by all""")
 def partition_figures(spark, sf_dir):
-    laid = log(spark, sf_dir).withColumns({"bintrail_id": F.lit("src"), "event_date": F.to_date("event_timestamp"), "event_hour": F.hour("event_timestamp")})
+    laid = log(spark, sf_dir).withColumns({"source_id": F.lit("src"), "event_date": F.to_date("event_timestamp"), "event_hour": F.hour("event_timestamp")})
     return writers.partition_figures(laid).withColumn("event_date", F.col("event_date").cast("string"))
 
 
@@ -282,7 +282,7 @@ def flashback_statement(spark, sf_dir):
 
 @query(STATE.format("log where event_timestamp <= timestamp '2024-01-10 00:00:00' and pk_values = '12'").replace(", event_id from", " from", 1))
 def hint_statement(spark, sf_dir):
-    return timetravel.run(timetravel.parse("SELECT /*+ DBTRAIL_AT='2024-01-10 00:00:00' */ pk_values, row_after FROM users WHERE id = 12", datetime(2024, 2, 1)), log(spark, sf_dir))
+    return timetravel.run(timetravel.parse("SELECT /*+ TRAVEL_AT='2024-01-10 00:00:00' */ pk_values, row_after FROM users WHERE id = 12", datetime(2024, 2, 1)), log(spark, sf_dir))
 
 
 @query("""+cut as (select timestamp '2024-01-15 12:00:00' as t), up as (select * from log where event_timestamp <= (select t from cut)),

@@ -12,14 +12,14 @@ from chronolake.operators.predicates import ChangeFilter
 SNAPSHOT_ID = 1 << 62
 
 
-def archive(spark: SparkSession, path: str, wanted: ChangeFilter | None = None, sources: list[str] | None = None, mixed_columns: bool = False) -> DataFrame:
-    """An archive laid out as bintrail_id=/event_date=/event_hour=; the filter's window prunes partitions, sources its ids.
+def archive(spark: SparkSession, path: str, wanted: ChangeFilter | None = None, sources: list[str] | None = None, mixed_columns: bool = False, source_column: str = "source_id") -> DataFrame:
+    """An archive laid out as <source_column>=/event_date=/event_hour=; the filter's window prunes partitions, sources its ids.
 
     mixed_columns merges the files' schemas (reading every footer): only for archives whose files differ in columns.
     """
     df = spark.read.option("mergeSchema", str(mixed_columns).lower()).parquet(path)
     if sources is not None:
-        df = df.where(F.col("bintrail_id").cast("string").isin(*sources))
+        df = df.where(F.col(source_column).cast("string").isin(*sources))
     if wanted is not None:
         df = wanted.apply(df.where(wanted.partition_condition()))
     return df

@@ -13,18 +13,18 @@ from chronolake.operators.compare import digest
 from chronolake.operators.fold import net_changes
 
 
-def write_archive(changes: DataFrame, path: str, source_id: str, mode: str = "append") -> DataFrame:
-    """Changes as bintrail_id=/event_date=/event_hour= partitions in id order, and each partition's figures."""
-    laid = changes.withColumns({"bintrail_id": F.lit(source_id), "event_date": F.to_date("event_timestamp"), "event_hour": F.hour("event_timestamp")})
-    keys = ["bintrail_id", "event_date", "event_hour"]
+def write_archive(changes: DataFrame, path: str, source_id: str, mode: str = "append", source_column: str = "source_id") -> DataFrame:
+    """Changes as <source_column>=/event_date=/event_hour= partitions in id order, and each partition's figures."""
+    laid = changes.withColumns({source_column: F.lit(source_id), "event_date": F.to_date("event_timestamp"), "event_hour": F.hour("event_timestamp")})
+    keys = [source_column, "event_date", "event_hour"]
     # an hour with very many changes is dealt to several files rather than to one task
     laid.repartition(F.col("event_date"), F.col("event_hour"), F.pmod(F.xxhash64("event_id"), F.lit(4))).sortWithinPartitions(*keys, "event_id").write.mode(mode).partitionBy(*keys).parquet(path)
-    return partition_figures(laid)
+    return partition_figures(laid, source_column)
 
 
-def partition_figures(laid: DataFrame) -> DataFrame:
-    """(bintrail_id, event_date, event_hour, rows, min_ts, max_ts, max_id) of each partition."""
-    return laid.groupBy("bintrail_id", "event_date", "event_hour").agg(F.count("*").alias("rows"), F.min("event_timestamp").alias("min_ts"), F.max("event_timestamp").alias("max_ts"), F.max("event_id").alias("max_id"))
+def partition_figures(laid: DataFrame, source_column: str = "source_id") -> DataFrame:
+    """(source_column, event_date, event_hour, rows, min_ts, max_ts, max_id) of each partition."""
+    return laid.groupBy(source_column, "event_date", "event_hour").agg(F.count("*").alias("rows"), F.min("event_timestamp").alias("min_ts"), F.max("event_timestamp").alias("max_ts"), F.max("event_id").alias("max_id"))
 
 
 def restore(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

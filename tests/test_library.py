@@ -305,7 +305,7 @@ NOW = datetime(2026, 5, 4, 18, 0, 30)
         ("select sku, qty from _snapshot.`orders` as of '5 minutes ago' limit 3;", timetravel.Travel("snapshot", "orders", datetime(2026, 5, 4, 17, 55, 30), None, None, ("sku", "qty"), 3)),
         ("SELECT * FROM _diff.orders BETWEEN '2 hours ago' AND 'now' WHERE id='a''b'", timetravel.Travel("diff", "orders", NOW, datetime(2026, 5, 4, 16, 0, 30), "a'b")),
         ("SELECT * FROM _flashback.t WHERE id = 7 AS OF '2026-05-04T10:00:00Z'", timetravel.Travel("flashback", "t", hour(10), None, "7")),
-        ("SELECT /*+ DBTRAIL_AT='2026-05-04 10:00:00' */ * FROM orders WHERE id = 1", timetravel.Travel("snapshot", "orders", hour(10), None, "1")),
+        ("SELECT /*+ TRAVEL_AT='2026-05-04 10:00:00' */ * FROM orders WHERE id = 1", timetravel.Travel("snapshot", "orders", hour(10), None, "1")),
         ("SELECT * FROM orders", None),
     ],
 )
