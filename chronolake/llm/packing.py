@@ -25,7 +25,6 @@ from .common import id_and_bytes, slices, uncollected, written
 WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 4096
-QUERY_TERMS = 16
 K1, B = 1.2, 0.75
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -172,14 +171,21 @@ class Shard:
         order = np.argsort(self.term, kind="stable")
         self.post_doc, self.post_weight = self.doc[order], self.weight[order]
         self.at_term = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
-        self.unused = np.ones(n, bool)
+        self.unused, self.listed = np.ones(n, bool), n
+
+    def _drop_used(self) -> None:
+        """Takes the used documents out of the postings; nothing that can be found is lost."""
+        live = self.unused[self.post_doc]
+        before = np.concatenate([[0], np.cumsum(live)])
+        self.post_doc, self.post_weight, self.at_term = self.post_doc[live], self.post_weight[live], before[self.at_term]
+        self.listed = int(self.unused.sum())
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused documents that share the seed's most telling terms, best first; ties in their given order."""
-        terms, weight = (x[self.at_doc[seed] : self.at_doc[seed + 1]] for x in (self.term, self.weight))
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.at_term[t], self.at_term[t + 1]) for t in terms]
+        """Unused documents that share any of the seed's terms, scored with all of them, best first; ties in their given order."""
+        if 2 * self.unused.sum() < self.listed:
+            self._drop_used()
+        terms = self.term[self.at_doc[seed] : self.at_doc[seed + 1]]
+        spans = [slice(a, b) for a, b in zip(self.at_term[terms].tolist(), self.at_term[terms + 1].tolist(), strict=True)]
         docs = np.concatenate([self.post_doc[s] for s in spans])
         scores = np.bincount(docs, np.concatenate([self.post_weight[s] for s in spans]), minlength=len(self.unused))
         scores[~self.unused] = 0

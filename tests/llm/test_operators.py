@@ -138,6 +138,28 @@ def test_packing_puts_neighbours_together():
     assert {next(shard.neighbours(0)) % 8} == {0}
 
 
+def test_packing_scores_with_all_terms():
+    idf = np.full(1 << 16, 3.0)
+    idf[100:] = 1.0
+    seed, light = np.arange(60, 160, dtype="<u2"), np.arange(150, 160, dtype="<u2")  # 40 heavy terms, 60 light ones
+    rng = np.random.default_rng(7)
+    documents = [seed, light, np.array([60, 61], "<u2"), np.array([9], "<u2")] + [rng.integers(50, 200, 30).astype("<u2") for _ in range(40)]
+    mean = float(np.mean([len(x) for x in documents]))
+    shard = packing.Shard(documents, idf, mean)
+
+    def score(d: np.ndarray) -> float:
+        norm = packing.K1 * (1 - packing.B + packing.B * len(d) / mean)
+        return sum(idf[t] * (d == t).sum() * (packing.K1 + 1) / ((d == t).sum() + norm) for t in np.unique(seed))
+
+    shard.unused[0] = False
+    for used in (0, 5, 30, 38):  # postings are also right once used documents are taken out of them
+        shard.unused[4 : 4 + used] = False
+        left = [d for d in range(1, len(documents)) if shard.unused[d]]
+        want = sorted((d for d in left if score(documents[d]) > 0), key=lambda d: (-round(score(documents[d]), 9), d))
+        got = list(shard.neighbours(0))
+        assert 1 in got and 3 not in got and got == want
+
+
 def test_quality_and_toxicity(spark, empty):
     rng = random.Random(2)
     common_words = [f"word{i}" for i in range(300)]
