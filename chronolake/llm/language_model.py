@@ -3,9 +3,9 @@
 The model has three levels. Each context (the token before) is a restaurant whose customers are the tokens that follow it
 in the training texts. The restaurants of one group of contexts share a parent restaurant, whose customers are their
 tables; its base is the corpus-wide distribution of single tokens: (c + 1) / (N + V + 1) for the most frequent tokens, and
-the mean of that over all others, known or not. Seatings are sampled by Gibbs: in each round one customer of each dish
-leaves and is seated anew, given all other seats of its restaurant. A token's probability is the mean over the samples
-after burn-in.
+the mean of that over all others, known or not. Seatings are sampled by Gibbs: a round draws the number of tables of each
+dish of few customers exactly, given its count, and lets each customer of the other dishes leave and be seated anew. The
+parent's seating goes on from sample to sample. A token's probability is the mean over the samples after burn-in.
 
 A context that makes up much of a shard is split by its tokens' hash into several restaurants, each weighed with the share
 of its tokens; so the distribution stays proper (rare tokens' mass counts as evenly spread over the parts) and no shard gets
@@ -17,8 +17,10 @@ Shards get (context, token, document) as compressed blocks, one for each sender;
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +40,9 @@ SHARD_TOKENS = 2_500_000
 #: Each shard's contexts are dealt to so many parents, which are worked on one after the other to bound memory.
 PARENTS = 3
 #: Gibbs rounds between samples, samples thrown away, samples kept.
-ROUNDS, BURN_IN, SAMPLES = 4, 2, 3
+ROUNDS, BURN_IN, SAMPLES = 6, 2, 3
+#: The tables of dishes with at most so many customers are drawn as numbers; others' customers are moved one by one.
+DRAWN = 64
 DISCOUNTS = (0.5, 0.7, 0.85, 0.95)
 STRENGTHS = (0.5, 2.0, 10.0, 50.0, 250.0, 2000.0)
 PARENT_STRENGTHS = (1e3, 1e4, 1e5, 1e6, 1e7, 1e8)
@@ -146,65 +150,118 @@ def bucket(codes: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((mixed(codes, 7) >> np.uint64(32)) >> (np.uint64(32) - bits.astype(np.uint64))).astype(np.int64)
 
 
+@lru_cache(64)
+def log_arrangements(discount: float, most: int) -> np.ndarray:
+    """[c, t]: log of the weight of all ways to seat c customers at t tables (generalised Stirling numbers)."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0
+    t = np.arange(1, most + 1)
+    with np.errstate(divide="ignore"):
+        for c in range(most):
+            out[c + 1, 1:] = np.logaddexp(out[c, :-1], out[c, 1:] + np.log(np.maximum(c - discount * t, 0)))
+    return out
+
+
 class Seating:
-    """Tables of the dishes that have two customers or more, one table each at first; other dishes keep one table."""
+    """Tables of the dishes that have two customers or more, one table each at first; other dishes keep one table.
+
+    Dishes of at most so many customers as drawn says have a number of tables and no seats.
+    """
 
-    def __init__(self, counts: np.ndarray, restaurant: np.ndarray, restaurants: int, rng: np.random.Generator):
-        self.rng, self.restaurants = rng, restaurants
-        self.tables = (counts > 0).astype(np.int64)
+    def __init__(self, counts: np.ndarray, restaurant: np.ndarray, restaurants: int, rng: np.random.Generator, drawn: int = 0):
+        self.rng, self.restaurants, self.drawn = rng, restaurants, drawn
         self.restaurant = restaurant
-        self.at = np.nonzero(counts > 1)[0]
-        self.c = counts[self.at]
-        self.start = np.cumsum(self.c) - self.c
-        self.seat = np.repeat(self.start, self.c)
-        self.size = np.zeros(len(self.seat), np.int64)
-        self.size[self.start] = self.c
+        self.t = self.seat = self.size = np.zeros(0, np.int64)
+        self._place(counts)
         self.t = np.ones(len(self.at), np.int64)
-        self.totals = np.bincount(restaurant, self.tables, restaurants)
+        self.size[self.start] = self.c[self.seated]
+        self._count()
+
+    def _place(self, counts: np.ndarray) -> None:
+        self.counts, self.at = counts, np.nonzero(counts > 1)[0]
+        self.c = counts[self.at]
+        self.seated = np.nonzero(self.c > self.drawn)[0]
+        c = self.c[self.seated]
+        self.start = np.cumsum(c) - c
+        self.seat, self.size = np.repeat(self.start, c), np.zeros(int(c.sum()), np.int64)
+
+    def _count(self) -> None:
+        self.tables = (self.counts > 0).astype(np.int64)
+        self.tables[self.at] = self.t
+        self.totals = np.bincount(self.restaurant, self.tables, self.restaurants)
+
+    def change(self, counts: np.ndarray) -> None:
+        """Goes on with other counts: who is too many leaves, at random; who is new shares a table until the next round."""
+        old = {int(self.at[k]): (self.seat[a : a + self.c[k]] - a, int(self.c[k])) for k, a in zip(self.seated.tolist(), self.start.tolist(), strict=True)}
+        tables = self.tables
+        self._place(counts)
+        self.t = np.clip(tables[self.at], 1, self.c)
+        for k, a in zip(self.seated.tolist(), self.start.tolist()):
+            c, dish = int(self.c[k]), int(self.at[k])
+            if dish in old:
+                seats, was = old[dish]
+                seats = self.rng.permutation(seats)[:c] if was > c else np.append(seats, self.rng.choice(seats, c - was))
+                seats = np.unique(seats, return_inverse=True)[1]
+            else:  # had a number of tables only
+                seats = np.append(np.arange(self.t[k]), self.rng.integers(0, self.t[k], c - self.t[k]))
+            self.seat[a : a + c] = a + seats
+            self.size[a : a + c] = np.bincount(seats, minlength=c)
+            self.t[k] = int(seats.max()) + 1
+        self._count()
 
     def round(self, parent: np.ndarray, discount: np.ndarray, strength: np.ndarray) -> None:
-        """One customer of each dish leaves its table and is seated anew. discount and strength: by restaurant."""
+        """All customers are seated anew. discount and strength: by restaurant.
+
+        Given a gamma variable for each restaurant its dishes don't depend on each other: a table then weighs discount
+        times that variable times its dish's probability in the parent.
+        """
         if not len(self.at):
             return
-        rng, c, start = self.rng, self.c, self.start
-        totals = self.totals
+        mass = self.rng.gamma(np.maximum(strength / discount + self.totals, 1e-9))
         r = self.restaurant[self.at]
-        who = start + (rng.random(len(c)) * c).astype(np.int64)
-        old = self.seat[who]
-        self.size[old] -= 1
-        gone = self.size[old] == 0
-        self.t -= gone
         d = discount[r]
-        new_weight = (strength[r] + d * (totals[r] - gone)) * parent[self.at]
-        new = rng.random(len(c)) * (np.maximum(c - 1 - d * self.t, 0) + new_weight) < new_weight
-        new |= self.t == 0
-        table = old.copy()
-        todo = np.nonzero(~new)[0]  # a table is joined as its size less the discount
-        for _ in range(30):
-            if not len(todo):
-                break
-            other = start[todo] + (rng.random(len(todo)) * (c[todo] - 1)).astype(np.int64)
-            other += other >= who[todo]
-            k = self.seat[other]
-            took = rng.random(len(todo)) * self.size[k] < self.size[k] - d[todo]
-            table[todo[took]] = k[took]
-            todo = todo[~took]
-        lost = todo[gone[todo]]  # found no table to join in 30 tries: goes back to its own
-        new[lost] = True
-        todo = np.nonzero(new & ~gone)[0]
-        for _ in range(60):  # an empty place for a new table; one who finds none sits down at the old table
-            if not len(todo):
-                break
-            place = start[todo] + (rng.random(len(todo)) * c[todo]).astype(np.int64)
-            free = self.size[place] == 0
-            table[todo[free]] = place[free]
-            todo = todo[~free]
-        new[todo] = False
-        self.seat[who] = table
-        self.size[table] += 1
-        self.t += new
-        self.totals += np.bincount(r, new.astype(np.float64) - gone, self.restaurants)
-        self.tables[self.at] = self.t
+        weight = np.maximum(d * mass[r] * parent[self.at], 1e-300)
+        few = np.nonzero(self.c <= self.drawn)[0]
+        if len(few):
+            kinds, kind = np.unique(d[few], return_inverse=True)
+            key = kind * (self.drawn + 1) + self.c[few]
+            few, key = few[order := np.argsort(key, kind="stable")], key[order]
+            for k, own in runs(key):
+                c, at = k % (self.drawn + 1), few[own]
+                p = log_arrangements(float(kinds[k // (self.drawn + 1)]), self.drawn)[c, 1 : c + 1] + np.log(weight[at])[:, None] * np.arange(1, c + 1)
+                p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
+                self.t[at] = 1 + (p[:, :-1] < (self.rng.random(len(at)) * p[:, -1])[:, None]).sum(1)
+        for k, a in zip(self.seated.tolist(), self.start.tolist(), strict=True):
+            self._sweep(k, a, float(d[k]), float(weight[k]))
+        self._count()
+
+    def _sweep(self, k: int, start: int, d: float, weight: float) -> None:
+        """Each customer of one dish leaves its table and is seated anew."""
+        c, t = int(self.c[k]), int(self.t[k])
+        seat, size = (self.seat[start : start + c] - start).tolist(), self.size[start : start + c].tolist()
+        free = [n for n in range(c) if not size[n]]
+        rng = random.Random(int(self.rng.integers(1 << 62)))
+        draw = rng.random
+        for who in range(c):
+            table = seat[who]
+            size[table] -= 1
+            if not size[table]:
+                t -= 1
+                free.append(table)
+            if draw() * (weight + c - 1 - d * t) < weight or not t:
+                table = free.pop()
+                t += 1
+            else:
+                while True:  # a table is joined as its size less the discount
+                    other = int(draw() * (c - 1))
+                    table = seat[other + (other >= who)]
+                    if draw() * size[table] < size[table] - d:
+                        break
+            seat[who] = table
+            size[table] += 1
+        self.seat[start : start + c] = np.array(seat) + start
+        self.size[start : start + c] = size
+        self.t[k] = t
 
 
 def best(grid: list[tuple[float, float]], likelihood, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +308,7 @@ def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabul
 
     discount, strength = (x[band] for x in best([(d, s) for d in DISCOUNTS for s in STRENGTHS], of_contexts, 10))
     n_w = len(dishes)
-    seats = Seating(c, r, n_r, rng)
+    seats, upper = Seating(c, r, n_r, rng, DRAWN), None
     lower = np.nonzero(np.bincount(dish, c, n_w) > 0)[0]
     parent, parent_share, out = base.copy(), share.copy(), np.zeros(len(pairs))
     one = np.zeros(n_w, np.int64)
@@ -271,7 +328,10 @@ def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabul
 
             if sample == 0:
                 d1, s1 = best([(d, s) for d in DISCOUNTS for s in PARENT_STRENGTHS], of_parent, 1)
-            upper = Seating(customers, one, 1, rng)
+            if upper is None:
+                upper = Seating(customers, one, 1, rng, DRAWN)
+            else:
+                upper.change(customers)
             for _ in range(ROUNDS):
                 upper.round(base, d1, s1)
             rest = (s1[0] + d1[0] * upper.totals[0]) / (s1[0] + whole)

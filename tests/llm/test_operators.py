@@ -107,6 +107,42 @@ def test_seating_keeps_its_counts():
     assert s.t.max() > 1
 
 
+@pytest.mark.parametrize("drawn", [0, 64])
+def test_seating_visits_all_customers(drawn):
+    """The number of tables of a frequent dish against its exact distribution, by counts and by seats."""
+    rng = np.random.default_rng(2)
+    d, strength, p, c = 0.7, 20.0, 0.3, 60
+    s = language_model.Seating(np.array([c]), np.zeros(1, np.int64), 1, rng, drawn)
+    stirling = [[1.0]]
+    for n in range(c):  # weights in floats, by the recursion
+        row = stirling[-1] + [0.0]
+        stirling.append([(row[t - 1] if t else 0.0) + (row[t] * (n - d * t) if t <= n else 0.0) for t in range(n + 2)])
+    w = np.array([np.log(stirling[c][t]) + t * np.log(p) + np.log(strength + d * np.arange(1, t)).sum() for t in range(1, c + 1)])
+    w = np.exp(w - w.max())
+    want = (w * np.arange(1, c + 1)).sum() / w.sum()
+    seen = []
+    for _ in range(800):
+        s.round(np.full(1, p), np.full(1, d), np.full(1, strength))
+        seen.append(s.t[0])
+    assert seen[0] > 2  # with one moved customer a round there were two tables at most
+    assert abs(np.mean(seen[100:]) - want) < 0.05 * want
+
+
+def test_seating_goes_on_with_other_counts():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 200, 100)
+    s = language_model.Seating(counts, np.zeros(100, np.int64), 1, rng, 64)
+    for _ in range(10):
+        s.round(np.full(100, 0.01), np.full(1, 0.7), np.full(1, 50.0))
+        before, was = s.tables.copy(), counts
+        counts = np.maximum(was + rng.integers(-9, 10, 100), 0)
+        s.change(counts)
+        assert (np.add.reduceat(s.size, s.start) == s.c[s.seated]).all() and (s.t[s.seated] == np.add.reduceat((s.size > 0).astype(int), s.start)).all()
+        assert ((s.tables <= counts) & ((s.tables > 0) == (counts > 0))).all() and s.totals[0] == s.tables.sum()
+        assert abs(s.tables.sum() - before.sum()) < 0.2 * before.sum()
+    assert s.tables.max() > 1
+
+
 def test_packing(docs, empty, monkeypatch):
     pieces = packing.pack(docs, WORD_BPE, shard_docs=7).toPandas()
     whole = Tokenizer.from_file(WORD_BPE)
