@@ -2,8 +2,9 @@
 
 The model has three levels. Each context (the token before) is a restaurant whose customers are the tokens that follow it
 in the training texts. The restaurants of one group of contexts share a parent restaurant, whose customers are their
-tables; its base is the corpus-wide distribution of single tokens: (c + 1) / (N + V + 1) for the most frequent tokens, and
-the mean of that over all others, known or not. Seatings are sampled by Gibbs: a round draws the number of tables of each
+tables; its base is the corpus-wide distribution of single tokens: (c + 1) / (N + V + 1) for
+every known token, and 1 / (N + V + 1) for all unknown ones together. Shards get the counts of the tokens that occur there
+and aren't in the table of frequent ones. Seatings are sampled by Gibbs: a round draws the number of tables of each
 dish of few customers exactly, given its count, and lets each customer of the other dishes leave and be seated anew. The
 parent's seating goes on from sample to sample. A token's probability is the mean over the samples after burn-in.
 
@@ -127,8 +128,17 @@ class Vocabulary:
         out[words] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, len(out) - len(texts))
         return out, sizes
 
-    def base_of(self, codes: np.ndarray) -> np.ndarray:
+    def base_of(self, codes: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The base probability of each token. rare: sorted hashes and counts of all others that are known among these;
+        without it they share their mass evenly."""
         out = np.full(len(codes), self.rare)
+        if rare is not None:
+            hashes, counts = rare
+            other, c = -1 - codes[codes < 0], np.zeros((codes < 0).sum(), np.int64)
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, other), len(hashes) - 1)
+                c = np.where(hashes[at] == other, counts[at], 0)
+            out[codes < 0] = (c + 1) / (self.tokens + self.types + 1)
         out[codes >= 0] = self.base[codes[codes >= 0]]
         return out
 
@@ -162,6 +172,20 @@ def log_arrangements(discount: float, most: int) -> np.ndarray:
     return out
 
 
+def contexts_of(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each; a text begins after an end."""
+    ends = np.cumsum(sizes)
+    u = np.empty_like(codes)
+    u[1:] = codes[:-1]
+    u[ends - sizes] = codes[ends - 1]
+    return u
+
+
+def shard_of(u: np.ndarray, codes: np.ndarray, vocabulary: Vocabulary, quota: float, shards: int) -> np.ndarray:
+    key = mixed(u) ^ mixed(bucket(codes, vocabulary.parts(u, quota)), 3)
+    return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 class Seating:
     """Tables of the dishes that have two customers or more, one table each at first; other dishes keep one table.
 
@@ -271,7 +295,7 @@ def best(grid: list[tuple[float, float]], likelihood, bands: int) -> tuple[np.nd
     return np.array([grid[i][0] for i in chosen]), np.array([grid[i][1] for i in chosen])
 
 
-def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabulary: Vocabulary, quota: float, seed: int) -> np.ndarray:
+def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabulary: Vocabulary, quota: float, seed: int, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The averaged predictive probability of each occurrence (context code u, token code w) of one shard."""
     rng = np.random.default_rng(seed)
     contexts, u = np.unique(u, return_inverse=True)
@@ -286,7 +310,7 @@ def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabul
     c = np.bincount(occurrence, train, len(pairs)).astype(np.int64)
     n_r = len(keys)
     c_r, kinds = np.bincount(r, c, n_r), np.bincount(r, c > 0, n_r)
-    base = vocabulary.base_of(dishes)
+    base = vocabulary.base_of(dishes, rare)
     # the base's share of each part of the token space, for contexts that are split
     share = np.ones(n_r)
     for b in np.unique(bits[bits > 0]):
@@ -392,23 +416,25 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             known = np.bincount(text[often], minlength=len(texts))
             base = np.bincount(text[often], np.log10(v.counts[codes[often]] + 1) - log_whole, len(texts)) - 0.0
             twin = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
-            of, h = text[~often], -1 - codes[~often]
-            order = np.lexsort((h, of))
-            of, h = of[order], h[order]
-            first = np.nonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])]))[0] if len(h) else np.zeros(0, np.int64)
-            times, of, h = np.diff(np.append(first, len(h))), of[first], h[first]
+            of, h, at = text[~often], -1 - codes[~often], shard_of(contexts_of(codes, sizes)[~often], codes[~often], v, quota, shards)
+            order = np.lexsort((at, h, of))
+            of, h, at = of[order], h[order], at[order]
+            first = np.nonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1]) | (at[1:] != at[:-1])]))[0] if len(h) else np.zeros(0, np.int64)
+            times, of, h, at = np.diff(np.append(first, len(h))), of[first], h[first], at[first]
             rare = pa.array(of)
             n, m = len(texts), len(times)
             columns = [
                 pa.concat_arrays([ids.cast(pa.int64()), ids.cast(pa.int64()).take(rare)]), pa.array(np.append(twin, twin[of])),
                 pa.array(np.append(mixed(twin * 31 + np.arange(n)).view(np.int64), h)), pa.array(np.append(np.ones(n, np.int64), np.zeros(m, np.int64))),
                 pa.array(np.append(sizes, times)), pa.array(np.append(known, np.zeros(m, np.int64))), pa.array(np.append(base, np.zeros(m))),
+                pa.array(np.append(np.full(n, -1), at), pa.int32()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "twin", "h", "doc", "n", "known", "base"])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "twin", "h", "doc", "n", "known", "base", "shard"])
 
     rare = counts.where(F.col("c") < (least or 1 << 62))
-    parts = rows.select("id", "text").mapInArrow(plain, "id long, twin long, h long, doc long, n long, known long, base double")
+    parts = rows.select("id", "text").mapInArrow(plain, "id long, twin long, h long, doc long, n long, known long, base double, shard int")
     met = parts.join(rare, "h", "left").withColumn("c", F.when(F.col("doc") == 0, F.coalesce("c", F.lit(0))))
+    met = written(met, "token-parts")
     plainly = met.groupBy("id", "twin").agg(
         F.sum("doc").alias("same"),
         F.sum(F.when(F.col("doc") == 1, F.col("n"))).alias("n_tokens"),
@@ -422,13 +448,9 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
 
         def flush() -> pa.RecordBatch:
             ids, twins, trains, sizes, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-            ends = np.cumsum(sizes)
-            u = np.empty_like(codes)
-            u[1:] = codes[:-1]
-            u[ends - sizes] = codes[ends - 1]  # a text begins after an end
+            u = contexts_of(codes, sizes)
             doc = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
-            key = mixed(u) ^ mixed(bucket(codes, v.parts(u, quota)), 3)
-            shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            shard = shard_of(u, codes, v, quota, shards)
             order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
             rows = []
             for s, own in runs(shard[order]):
@@ -455,7 +477,12 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             yield flush()
 
     @uncollected
-    def seated(key: tuple, table: pa.Table) -> pa.Table:
+    def seated(key: tuple, table: pa.Table, there: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"sender": pa.array([], pa.int64())} | {k: pa.array([], pa.binary()) for k in ("ids", "twins", "parts")})
+        hashes, first = np.unique(there.column("h").to_numpy(), return_index=True)
+        rare = hashes, there.column("c").to_numpy()[first]
+
         def each(name: str, kind: str) -> list[np.ndarray]:
             return [unpack(x, kind) for x in table.column(name).to_pylist()]
 
@@ -469,7 +496,7 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         for n in range(PARENTS):
             own = np.nonzero(parent == n)[0]
             if len(own):
-                p[own] = shard_probabilities(u[own], w[own], trains[doc[own]].astype(bool), shared.value, quota, key[0].as_py() * PARENTS + n)
+                p[own] = shard_probabilities(u[own], w[own], trains[doc[own]].astype(bool), shared.value, quota, key[0].as_py() * PARENTS + n, rare)
         sums = np.bincount(doc, np.log10(p), int(ahead[-1]))
         parts = [pack(sums[a:b]) for a, b in zip(ahead[:-1], ahead[1:], strict=True)]
         return pa.table({"sender": table.column("sender"), "ids": table.column("ids"), "twins": table.column("twins"), "parts": pa.array(parts, pa.binary())})
@@ -483,7 +510,8 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
         return pa.table({"id": pa.array(own, mask=own == np.iinfo(np.int64).min), "twin": pa.array(twins[first]), "part": pa.array(np.add.reduceat(parts, first))})
 
     blocks = rows.mapInArrow(sent, "shard int, sender long, ids binary, twins binary, trains binary, docs binary, contexts binary, tokens binary")
-    parts_of = blocks.groupBy("shard").applyInArrow(lambda key, table: seated(key, table), "sender long, ids binary, twins binary, parts binary")
+    needed = met.where("doc = 0 and c > 0").select("shard", "h", "c")
+    parts_of = blocks.groupBy("shard").cogroup(needed.groupBy("shard")).applyInArrow(lambda key, table, there: seated(key, table, there), "sender long, ids binary, twins binary, parts binary")
     modelled = parts_of.groupBy("sender").applyInArrow(summed, "id long, twin long, part double").groupBy("id", "twin").agg(F.sum("part").alias("score"))
     both = plainly.alias("a").join(modelled.alias("b"), F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.twin") == F.col("b.twin")))
     one = lambda c: (F.col(c) / F.col("same")).alias(c)  # noqa: E731  rows that are wholly the same were summed

@@ -107,6 +107,19 @@ def test_seating_keeps_its_counts():
     assert s.t.max() > 1
 
 
+def test_language_model_keeps_the_base_of_rare_tokens(docs, monkeypatch):
+    v = language_model.Vocabulary(np.array([5, 9]), np.array([8, 7]), 20, 4)
+    codes, rare = np.array([0, 1, -1 - 3, -1 - 4, -1 - 6]), (np.array([3, 6]), np.array([2, 3]))  # 4 is unknown
+    want = np.array([9, 8, 3, 1, 4]) / 25
+    assert np.allclose(v.base_of(codes, rare), want)
+    p = language_model.shard_probabilities(np.full(5, -1 - 77), codes, np.zeros(5, bool), v, 1e9, 1, rare)  # an unseen context
+    assert np.allclose(p, want)
+    whole = {(r.id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in language_model.scores(docs, F.col("doc_id") % 3 != 0).collect()}
+    monkeypatch.setattr(language_model, "FREQUENT", 5)
+    few = language_model.scores(docs, F.col("doc_id") % 3 != 0).collect()
+    assert {(r.id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in few} == whole and all(np.isfinite(r.score) for r in few)
+
+
 @pytest.mark.parametrize("drawn", [0, 64])
 def test_seating_visits_all_customers(drawn):
     """The number of tables of a frequent dish against its exact distribution, by counts and by seats."""
