@@ -321,10 +321,9 @@ def shard_probabilities(u: np.ndarray, w: np.ndarray, train: np.ndarray, vocabul
     # hyperparameters by leave-one-out likelihood
     band = np.minimum(np.log2(np.maximum(c_r, 1)) // 2, 9).astype(np.int64)
     trained = np.nonzero(c > 0)[0]
-    tried = trained if len(trained) < 200_000 else rng.choice(trained, 200_000, replace=False)
-    rc, rr = c[tried], r[tried]
+    rc, rr = c[trained], r[trained]
     less, tables = c_r[rr] - 1, kinds[rr] - (rc == 1)
-    low = base[dish[tried]] / share[rr]
+    low = base[dish[trained]] / share[rr]
 
     def of_contexts(d: float, s: float) -> np.ndarray:
         p = (np.maximum(rc - 1 - d, 0) + (s + d * tables) * low) / (s + less)

@@ -120,6 +120,15 @@ def test_language_model_keeps_the_base_of_rare_tokens(docs, monkeypatch):
     assert {(r.id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in few} == whole and all(np.isfinite(r.score) for r in few)
 
 
+def test_hyperparameters_go_by_all_pairs(monkeypatch):
+    seen, real = [], language_model.best
+    monkeypatch.setattr(language_model, "best", lambda grid, likelihood, bands: (seen.append(likelihood(0.5, 2.0).sum()), real(grid, likelihood, bands))[1])
+    u, w = (x.ravel() for x in np.meshgrid(-1 - np.arange(1000), -10_001 - np.arange(250)))
+    v = language_model.Vocabulary(np.zeros(0, np.int64), np.zeros(0, np.int64), len(u), 250)
+    language_model.shard_probabilities(u, w, np.ones(len(u), bool), v, 1e9, 1)
+    assert np.isclose(seen[0], len(u) * np.log((2 + 0.5 * 249) * v.rare / (2 + 249)))  # each context has 250 tokens once
+
+
 @pytest.mark.parametrize("drawn", [0, 64])
 def test_seating_visits_all_customers(drawn):
     """The number of tables of a frequent dish against its exact distribution, by counts and by seats."""
