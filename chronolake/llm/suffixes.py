@@ -33,6 +33,8 @@ LENGTH = 50
 GRAM = 26
 #: Bytes of text for each shard and for each batch of documents that one task holds.
 SHARD_BYTES = 4 << 20
+#: Shards, or batches of documents, that one task works on, one after the other.
+SHARDS_A_TASK = 4
 #: Documents with one anchor, beyond which its strings are dealt by their own hashes.
 HOT_DOCS = 20_000
 #: Bytes whose anchors are worked out at once.
@@ -143,9 +145,41 @@ def _anchors(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Even shares of hashes that are spread evenly; greater hashes never come to a lesser shard."""
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
+def anchor_shard(hashes: np.ndarray, shards: int, length: int, gram: int) -> np.ndarray:
+    """Even shares of anchors; greater hashes never come to a lesser shard.
+
+    An anchor is the least of width hashes, so small ones are many: a gram whose hash is x (of 1) is an anchor with the chance
+    (1 - x)^(width - 1) * (1 + (width - 1) x). The shard goes by the share of all anchors that are below.
+    """
+    n = length - gram
+    above = 1 - (hashes >> np.uint64(11)) * 2.0**-53
+    below = 1 - ((n + 2) * above ** (n + 1) - n * above ** (n + 2)) / 2
+    return np.clip((below * shards).astype(np.int64), 0, shards - 1)
+
+
+def numbered(raw: bytes, data: np.ndarray, begin: np.ndarray, size: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A number for each string raw[begin : begin + size], the same for equal strings with an equal left, else different."""
+    h = np.fromiter((xxhash.xxh3_64_intdigest(raw[b : b + s], 50) for b, s in zip(begin.tolist(), size.tolist(), strict=True)), np.uint64, len(begin))
+    order = np.lexsort((h, size, left))
+    x, y = order[:-1], order[1:]
+    alike = (h[x] == h[y]) & (size[x] == size[y]) & (left[x] == left[y])
+    for n in np.unique(size[x[alike]]).tolist():
+        at = np.nonzero(alike & (size[x] == n))[0]
+        span = np.arange(n)
+        for low in range(0, len(at), 100_000):
+            part = at[low : low + 100_000]
+            if not (data[begin[x[part], None] + span] == data[begin[y[part], None] + span]).all():
+                names: dict[tuple[int, bytes], int] = {}  # different strings with one hash: by their bytes
+                return np.array([names.setdefault((k, raw[b : b + s]), len(names)) for k, b, s in zip(left.tolist(), begin.tolist(), size.tolist(), strict=True)], np.int64)
+    out = np.empty(len(h), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ~alike])) if len(h) else 0
+    return out
+
+
 def string_hash(string: bytes) -> int:
     return xxhash.xxh64_intdigest(string, 50)
 
@@ -334,7 +368,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             h, batch = h[first], np.sort(of)[text[first]]
             starts = np.nonzero(~np.concatenate([[False], (h[1:] == h[:-1]) & (batch[1:] == batch[:-1])]))[0]
             h, batch, many = h[starts], batch[starts].astype(np.uint32), np.diff(np.append(starts, len(h))).astype(np.uint16)
-            parts = runs(shard_of(h, shards))
+            parts = runs(anchor_shard(h, shards, length, gram))
             full, spans = [s for s, _ in parts], [x for _, x in parts]
             columns = [[pack(np.diff(h[x], prepend=np.uint64(0))) for x in spans], [pack(batch[x]) for x in spans], [pack(many[x]) for x in spans]]
             return pa.RecordBatch.from_arrays([pa.array(full, pa.int32())] + [pa.array(c, pa.binary()) for c in columns], ["shard", "hashes", "batches", "docs"])
@@ -355,6 +389,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if found:
             yield flush()
 
+    @uncollected
     def shared(table: pa.Table) -> pa.Table:
         h = np.concatenate([np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in table.column("hashes").to_pylist()])
         batch, docs = (np.concatenate([unpack(x, kind) for x in table.column(k).to_pylist()]).astype(np.int64) for k, kind in (("batches", "<u4"), ("docs", "<u2")))
@@ -383,7 +418,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         reach = length - gram
         # what is around an anchor (how far in it lies, bytes) -> its number and first row; rows go by id
         around: dict[tuple[int, bytes], tuple[int, int]] = {}
-        sent_on: list[tuple[int, int, int, int]] = []
+        sent_on: list[tuple[int, int, int, int, bool]] = []
         local: list[tuple[int, int, int]] = []
         doc = [-1 if i is None else i for i in ids]
         for low in range(0, len(texts) if len(known) else 0, 100):
@@ -403,15 +438,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         if doc[row] < doc[t]:
                             local.append((t, p - left, p - left + len(string)))
                         else:
-                            sent_on.append((string_hash(string) if many else x, number, t, p))
+                            sent_on.append((string_hash(string) if many else x, number, t, p, many))
         batch = mine.column("batch")[0].as_py() if mine.num_rows else 0
         if around:
-            h, number, row, at = (np.array(x, kind) for x, kind in zip(zip(*sent_on, strict=True), (np.uint64, np.int64, np.uint32, np.uint32), strict=True))
+            h, number, row, at, own = (np.array(x, kind) for x, kind in zip(zip(*sent_on, strict=True), (np.uint64, np.int64, np.uint32, np.uint32, bool), strict=True))
+            sent_on.clear()
             keys = list(around)
-            order = np.lexsort((number, h))
-            h, number, row, at = h[order], number[order], row[order], at[order]
+            del around
+            shard = np.where(own, shard_of(h, shards), anchor_shard(h, shards, length, gram))
+            order = np.lexsort((number, h, shard))
+            h, number, row, at, shard = h[order], number[order], row[order], at[order], shard[order]
             numbers = np.array(doc, np.int64)[row]
-            for n, (s, x) in enumerate(runs(shard_of(h, shards))):
+            for n, (s, x) in enumerate(runs(shard)):
                 own, which = np.unique(number[x], return_inverse=True)
                 strings = [keys[i] for i in own.tolist()]
                 columns = [np.diff(h[x], prepend=np.uint64(0)), numbers[x], row[x], at[x], which.astype(np.uint32), np.array([k for k, _ in strings], np.uint16), np.array([len(k) for _, k in strings], np.uint16)]
@@ -436,9 +474,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raw = b"".join(zstandard.decompress(x) for x in table.column("data").to_pylist())
         data, begin = np.frombuffer(raw, np.uint8), np.cumsum(size) - size
         # surroundings that are the same from several senders count as one
-        names: dict[tuple[int, bytes], int] = {}
-        same = np.array([names.setdefault((x, raw[b : b + s]), len(names)) for x, b, s in zip(left.tolist(), begin.tolist(), size.tolist(), strict=True)], np.int64)
-        del names, raw
+        same = numbered(raw, data, begin, size, left)
+        del raw
         first = np.unique(same, return_index=True)[1]
         kind = same[which]
         least, group = np.full(len(first), np.iinfo(np.int64).max), np.zeros(len(first), np.uint64)
@@ -482,6 +519,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         blocks = {k: pa.array([pack(x[own].astype(np.uint32)) for _, own in parts], pa.binary()) for k, x in (("rows", row), ("starts", s), ("ends", e))}
         return pa.table({"batch": pa.array(full, pa.int32()), **blocks})
 
+    @uncollected
     def removed(mine: pa.Table, spans: pa.Table) -> pa.Table:
         ids, texts, order_in = _rows(mine)
         row, s, e = (np.concatenate([np.zeros(0, np.int64), *[unpack(x, "<u4").astype(np.int64) for x in spans.column(k).to_pylist()]]) for k in ("rows", "starts", "ends"))
@@ -500,11 +538,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         columns = (("id", ids, pa.int64()), ("text", texts, pa.binary()), ("kept", kept, pa.binary()), ("n_removed", gone, pa.int64()), ("n_spans", [len(a) for a in starts], pa.int64()), ("starts", starts, pa.list_(pa.int64())), ("ends", ends, pa.list_(pa.int64())))
         return pa.table({k: pa.array(v, t) for k, v, t in columns} | {"carried": _nullable(mine.column("carried").take(pa.array(order_in, pa.int64())))})
 
-    flags = rows.select("id", "text", "batch").mapInArrow(sent, "shard int, hashes binary, batches binary, docs binary").groupBy("shard").applyInArrow(shared, "batch int, hashes binary, hot binary")
+    # partitions grow with the shards, so a task's share doesn't grow with the input
+    parts = min(shards, max(16, -(-shards // SHARDS_A_TASK)))
+    dealt = rows.repartition(parts, "batch")
+    flags = rows.select("id", "text", "batch").mapInArrow(sent, "shard int, hashes binary, batches binary, docs binary").repartition(parts, "shard").groupBy("shard").applyInArrow(lambda table: shared(table), "batch int, hashes binary, hot binary")
     block = "shard int, batch int, hashes binary, docs binary, rows binary, at binary, which binary, left binary, sizes binary, data binary, local binary"
-    around = rows.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(lambda mine, flags: surroundings(mine, flags), block)
-    spans = around.groupBy("shard").applyInArrow(lambda table: decided(table), "batch int, rows binary, starts binary, ends binary")
-    return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(removed, f"id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>, carried {carried}")
+    around = dealt.groupBy("batch").cogroup(flags.repartition(parts, "batch").groupBy("batch")).applyInArrow(lambda mine, flags: surroundings(mine, flags), block)
+    spans = around.repartition(parts, "shard").groupBy("shard").applyInArrow(lambda table: decided(table), "batch int, rows binary, starts binary, ends binary")
+    return dealt.groupBy("batch").cogroup(spans.repartition(parts, "batch").groupBy("batch")).applyInArrow(lambda mine, spans: removed(mine, spans), f"id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>, carried {carried}")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
