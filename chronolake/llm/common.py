@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,23 @@ def id_and_bytes(batch: pa.RecordBatch, id_at: int = 0, text_at: int = 1) -> tup
     return batch.column(id_at), [t or b"" for t in texts.to_pylist()]
 
 
+def strings(column: pa.Array) -> pa.Array:
+    """Texts as an Arrow string array; a null text is empty. Bytes that are no UTF-8 stay as they are."""
+    if not pa.types.is_string(column.type):
+        column = pc.cast(column, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+    return pc.fill_null(column, "") if column.null_count else column
+
+
+def coded_words(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """(offsets, codes, words): of all texts the words between ASCII white space as places in the array of different words.
+
+    Where a text begins or ends with white space it has the empty word there; a text without words is one empty word.
+    """
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    return lists.offsets, coded.indices, coded.dictionary.cast(pa.binary())
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most so many rows, which bounds what a task holds at once."""
     for batch in batches:

@@ -16,11 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, slices, uncollected, written
+from .common import coded_words, slices, strings, uncollected, written
 
 WINDOW = 2048
 END_ID = 1
@@ -55,7 +56,7 @@ class Words:
         self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.last = np.zeros(1 << 16, bool)  # a word's last id, and no other, is one with the mark of a word's end
         self.last[[i for word, i in self.whole.get_vocab().items() if word.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {b"": b""}
         self.pieces: dict[str, bytes] = {"": b""}
 
     def _merge(self, pieces: list[str]) -> None:
@@ -86,7 +87,7 @@ class Words:
         self.known.update([(raw, pieces[c] + pieces[t]) for raw, c, t in known])
 
     def forget(self) -> None:
-        self.known, self.pieces = {}, {"": b""}
+        self.known, self.pieces = {b"": b""}, {"": b""}
 
     def _rest(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
         for at in range(0, len(words), 10_000):
@@ -95,13 +96,17 @@ class Words:
             self.known.update((raw, np.array(c.ids, "<u2").tobytes()) for (raw, _), c in zip(part, coded, strict=True))
 
     @uncollected
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as a binary."""
         if len(self.known) > self.most:
             self.forget()
-        words = [t.split() for t in texts]
-        if fresh := list(set().union(*words).difference(self.known)):
+        offsets, codes, words = coded_words(texts)
+        words = words.to_pylist()
+        if fresh := list(set(words).difference(self.known)):
             self.learn(fresh)
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+        ids = pa.array([self.known[w] for w in words], pa.binary())
+        offsets = pc.subtract(offsets, offsets[0]) if len(offsets) and offsets[0].as_py() else offsets
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, ids.take(codes)), b"")
 
 
 @lru_cache(1)
@@ -109,29 +114,34 @@ def words_of(path: str, most: int = KNOWN_WORDS) -> Words:
     return Words(path, most)
 
 
-def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, window: int = WINDOW, known_words: int = KNOWN_WORDS, size: int = 1 << 16) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, window: int = WINDOW, known_words: int = KNOWN_WORDS, forget: bool = False, size: int = 1 << 16) -> DataFrame:
     """(doc_id, doc_tokens, last, ids): each document's ids with end_id after them, as 16-bit integers in a binary. last
     is the greatest id after the document's whole windows, -1 if nothing is left there.
 
-    Each task adds a row with doc_tokens -1 whose ids are its counts (64-bit): for each of size ids the documents that
+    forget empties the executor's table of words after each task. Each task adds a row with doc_tokens -1 whose ids are its counts (64-bit): for each of size ids the documents that
     have it, then all documents, then all ids.
     """
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen, there = ["doc_id", "doc_tokens", "last", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), bool)
-        for batch in slices(batches, 1000):
-            keys, texts = id_and_bytes(batch)
-            ids = [c + end for c in words_of(path, known_words).encode(texts)]
-            lengths = np.array([len(c) // 2 for c in ids], np.int64)
+        for batch in slices(batches, 4000):
+            ids = pc.binary_join_element_wise(words_of(path, known_words).encode(strings(batch.column(1))), end, b"")
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 2
+            flat = np.frombuffer(ids.buffers()[2], "<u2")
+            lengths = np.diff(ends)
             for low in range(0, len(ids), 64):
                 there[:] = False
-                there[np.repeat(np.arange(len(lengths[low : low + 64])), lengths[low : low + 64]), np.frombuffer(b"".join(ids[low : low + 64]), "<u2")] = True
+                some = lengths[low : low + 64]
+                there[np.repeat(np.arange(len(some)), some), flat[ends[low] : ends[low] + some.sum()]] = True
                 seen[:size] += there.sum(0)
             seen[size:] += len(ids), lengths.sum()
-            last = [int(np.frombuffer(c, "<u2")[n - n % window :].max(initial=0)) if n % window else -1 for c, n in zip(ids, lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(lengths), pa.array(last, pa.int32()), pa.array(ids, pa.binary())], names)
-        if known_words < KNOWN_WORDS:
+            last = np.full(len(ids), -1)
+            begins = np.stack([ends[1:] - lengths % window, ends[1:]], 1)[lengths % window > 0]
+            if len(begins):
+                last[lengths % window > 0] = np.maximum.reduceat(np.append(flat[: ends[-1]], 0), begins.ravel())[::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lengths), pa.array(last, pa.int32()), ids], names)
+        if forget:
             words_of(path, known_words).forget()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names)
 
@@ -254,17 +264,17 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, known_words: int = KNOWN_WORDS) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_docs: int = SHARD_DOCS, known_words: int = KNOWN_WORDS, forget: bool = False) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Whole windows of a document are sequences of their own; what is left of it, shorter than a window, is packed with
     its neighbours. A sequence is a full window, or else its length is a power of two, so nothing is padded. Null and
     empty texts are the end id alone. Repeated rows, and rows with the same or a null id, are packed each for itself.
     An empty table gives no pieces. Other columns of docs are not read. The tokenizer's ids must be below 2^16.
-    known_words bounds the words that an executor's process keeps encoded, and so its memory; below the default they are
-    forgotten after each task.
+    known_words bounds the words that an executor's process keeps encoded, and so its memory; with forget none are kept after
+    a task. Neighbours come from the own run of shard_docs documents.
     """
-    tokens = written(tokenized(docs, path, id_col, text_col, end_id, window, known_words), "tokens", "snappy")
+    tokens = written(tokenized(docs, path, id_col, text_col, end_id, window, known_words, forget), "tokens", "snappy")
     frequency, n, mean = document_frequencies(tokens)
     tokens = tokens.where("doc_tokens > 0")
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))

@@ -293,15 +293,16 @@ def _sort_part(there: np.ndarray, where: np.ndarray, begin: np.ndarray, left: np
     row, off = row[by], off[by]
     segment = where[row] * reach + off
     suffix = begin[row] + left[row] - off
-    # segments whose suffixes all agree by hash are in order as they are
+    # of suffixes that agree by hash one goes through the sort for all
     here = ext.hashes(suffix, length)
-    fresh = np.concatenate([[True], segment[1:] != segment[:-1]])
-    number = np.cumsum(fresh) - 1
-    differ = np.zeros(number[-1] + 1, bool)
-    differ[number[1:][(here[1:] != here[:-1]) & ~fresh[1:]]] = True
-    at = np.nonzero(differ[number])[0]
-    order = np.arange(len(suffix))
-    order[at] = at[merge_sort(suffix[at], segment[at], ext)]
+    order = np.lexsort((here, segment))
+    fresh = np.concatenate([[True], (segment[order][1:] != segment[order][:-1]) | (here[order][1:] != here[order][:-1])])
+    begins = np.nonzero(fresh)[0]
+    counts = np.diff(np.append(begins, len(order)))
+    one = order[begins]
+    sorted_ = merge_sort(suffix[one], segment[one], ext)
+    begins, counts = begins[sorted_], counts[sorted_]
+    order = order[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(len(order))]
     row, off, suffix = row[order], off[order], suffix[order]
     a, b = suffix[:-1], suffix[1:]
     same = (segment[1:] == segment[:-1]) & (ext.hashes(a, length) == ext.hashes(b, length))
