@@ -27,15 +27,18 @@ WINDOW = 2048
 END_ID = 1
 SHARD_DOCS = 4096
 K1, B = 1.2, 0.75
+#: Seeds whose frequent terms are scored in one product.
+SEEDS = 256
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 #: Words that an executor's process keeps the ids of; the table is emptied when it holds more.
-KNOWN_WORDS = 1_500_000
-_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Below this, lower case goes by single characters and no character is changed by normal form C.
-_PLAIN = "\u0250"
+KNOWN_WORDS = 1_000_000
+#: Words of these characters only are lowered one by one, and normal form C leaves them as they are.
+_PLAIN = r"^[\x00-\x{12f}\x{131}-\x{24f}]*$"
+#: Letters with ASCII punctuation after them.
+_LETTERS = r"^(?P<letters>\pL*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 class Words:
@@ -65,35 +68,36 @@ class Words:
             ids = np.array(coded.ids, "<u2")
             ends = (2 * np.nonzero(self.last[ids])[0] + 2).tolist()
             raw = ids.tobytes()
-            self.pieces.update((w, raw[a:b]) for w, a, b in zip(group, [0, *ends[:-1]], ends, strict=True))
+            self.pieces.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
     def learn(self, fresh: list[bytes]) -> None:
-        joined = b"\n".join(fresh).decode("utf-8", "replace")
-        texts, low = joined.split("\n"), joined.lower().split("\n")
-        if max(joined) < _PLAIN and "\u0130" not in joined and "<|" not in joined:
-            simple = [True] * len(fresh)
-        else:  # special tokens are told by their case
-            simple = [max(t) < _PLAIN and "\u0130" not in t and "<|" not in t for t in texts]
-            low = [t.lower() if s else "" for t, s in zip(texts, simple, strict=True)]
-        cores = [t.rstrip(_PUNCTUATION) for t in low]
-        plain = [s and (not c or c.isalpha()) for s, c in zip(simple, cores, strict=True)]
-        self._rest(self.whole, [(raw, t) for raw, t, s in zip(fresh, texts, simple, strict=True) if not s])
-        self._rest(self.lowered, [(raw, t) for raw, t, s, p in zip(fresh, low, simple, plain, strict=True) if s and not p])
-        known = [(raw, c, t[len(c) :]) for raw, c, t, p in zip(fresh, cores, low, plain, strict=True) if p]
-        new = {c for _, c, _ in known}
-        new.update(t for _, _, t in known)
-        self._merge(list(new.difference(self.pieces)))
-        pieces = self.pieces
-        self.known.update([(raw, pieces[c] + pieces[t]) for raw, c, t in known])
+        raw = pa.array(fresh, pa.binary())
+        texts = pc.cast(raw, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
+        simple = pc.and_not(pc.match_substring_regex(texts, _PLAIN), pc.match_substring(texts, "<|"))
+        low = pc.utf8_lower(pc.if_else(simple, texts, ""))
+        parts = pc.extract_regex(low, _LETTERS)
+        plain = pc.and_(simple, parts.is_valid())
+        self._rest(self.whole, raw.filter(pc.invert(simple)), [w.decode("utf-8", "replace") for w in raw.filter(pc.invert(simple)).to_pylist()])
+        odd = pc.and_not(simple, plain)
+        self._rest(self.lowered, raw.filter(odd), low.filter(odd).to_pylist())
+        parts = parts.filter(plain)
+        both = []
+        for name in ("letters", "marks"):
+            coded = pc.struct_field(parts, name).dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            self._merge([x for x in pieces if x not in self.pieces])
+            both.append(pa.array([self.pieces[x] for x in pieces], pa.binary()).take(coded.indices))
+        words = raw.filter(plain).to_pylist()
+        self.known.update(zip(words, pc.binary_join_element_wise(*both, b"").to_pylist(), strict=True))
 
     def forget(self) -> None:
         self.known, self.pieces = {b"": b""}, {"": b""}
 
-    def _rest(self, tokenizer, words: list[tuple[bytes, str]]) -> None:
+    def _rest(self, tokenizer, raw: pa.Array, texts: list[str]) -> None:
+        words = raw.to_pylist()
         for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            coded = tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            self.known.update((raw, np.array(c.ids, "<u2").tobytes()) for (raw, _), c in zip(part, coded, strict=True))
+            coded = tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)
+            self.known.update(zip(words[at : at + 10_000], [np.array(c.ids, "<u2").tobytes() for c in coded], strict=True))
 
     @uncollected
     def encode(self, texts: pa.Array) -> pa.Array:
@@ -167,45 +171,75 @@ def document_frequencies(tokens: DataFrame, size: int = 1 << 16) -> tuple[np.nda
 
 
 class Shard:
-    """A BM25 inverted index of one shard's documents, from which used ones are taken out."""
+    """A BM25 inverted index of one shard's documents, from which used ones are taken out.
+
+    Terms of many documents have a row of weights for all of them, others a list of postings.
+    """
 
     def __init__(self, texts: list[np.ndarray], idf: np.ndarray, mean: float):
         n = len(texts)
         self.lengths = np.array([len(x) for x in texts], np.int64)
         key = (np.repeat(np.arange(n, dtype=np.int32), self.lengths) << 16) | np.concatenate(texts).astype(np.int32)
         key, count = np.unique(key, return_counts=True)
-        self.doc, self.term = (key >> 16).astype(np.int64), (key & 0xFFFF).astype(np.int64)
-        self.at_doc = np.searchsorted(self.doc, np.arange(n + 1))
+        doc, term = (key >> 16).astype(np.int64), (key & 0xFFFF).astype(np.int64)
+        kinds, self.term = np.unique(term, return_inverse=True)
+        self.at_doc = np.searchsorted(doc, np.arange(n + 1))
         norm = K1 * (1 - B + B * self.lengths / mean)
-        self.weight = idf[self.term] * count * (K1 + 1) / (count + norm[self.doc])
+        weight = idf[term] * count * (K1 + 1) / (count + norm[doc])
+        often = np.bincount(self.term) * 16 > n
+        self.row_of = np.where(often, np.cumsum(often) - 1, -1)
+        own = self.row_of[self.term]
+        self.rows = np.zeros((int(often.sum()), n))
+        self.rows[own[own >= 0], doc[own >= 0]] = weight[own >= 0]
         order = np.argsort(self.term, kind="stable")
-        self.post_doc, self.post_weight = self.doc[order], self.weight[order]
-        self.at_term = np.searchsorted(self.term[order], np.arange(len(idf) + 1))
-        self.unused, self.listed = np.ones(n, bool), n
+        order = order[own[order] < 0]
+        self.post_doc, self.post_weight = doc[order], weight[order]
+        self.at_term = np.searchsorted(self.term[order], np.arange(len(kinds) + 1))
+        self.unused, self.listed = np.ones(n, bool), np.arange(n)
+        self.together: dict[int, np.ndarray] = {}  # what the rows add to the scores, for blocks of seeds
 
     def _drop_used(self) -> None:
-        """Takes the used documents out of the postings; nothing that can be found is lost."""
-        live = self.unused[self.post_doc]
+        """Takes the used documents out of the index; nothing that can be found is lost."""
+        left = self.unused[self.listed]
+        place = np.cumsum(left) - 1
+        live = left[self.post_doc]
         before = np.concatenate([[0], np.cumsum(live)])
-        self.post_doc, self.post_weight, self.at_term = self.post_doc[live], self.post_weight[live], before[self.at_term]
-        self.listed = int(self.unused.sum())
+        self.post_doc, self.post_weight, self.at_term = place[self.post_doc[live]], self.post_weight[live], before[self.at_term]
+        self.rows, self.listed = np.ascontiguousarray(self.rows[:, left]), self.listed[left]
+        self.together = {k: x[:, left] for k, x in self.together.items()}
+
+    def _by_rows(self, seed: int) -> np.ndarray:
+        """What the terms with a row add to the scores of the listed documents; worked out for SEEDS documents in one product."""
+        block = seed // SEEDS
+        if block not in self.together:
+            low, high = block * SEEDS, min((block + 1) * SEEDS, len(self.lengths))
+            own = slice(self.at_doc[low], self.at_doc[high])
+            row, doc = self.row_of[self.term[own]], np.repeat(np.arange(high - low), np.diff(self.at_doc[low : high + 1]))
+            there = np.zeros((high - low, len(self.rows)))
+            there[doc[row >= 0], row[row >= 0]] = 1
+            self.together[block] = there @ self.rows
+        return self.together[block][seed - block * SEEDS].copy()
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused documents that share any of the seed's terms, scored with all of them, best first; ties in their given order."""
-        if 2 * self.unused.sum() < self.listed:
+        if 2 * self.unused.sum() < len(self.listed):
             self._drop_used()
         terms = self.term[self.at_doc[seed] : self.at_doc[seed + 1]]
+        terms = terms[self.row_of[terms] < 0]
+        scores = self._by_rows(seed)
         spans = [slice(a, b) for a, b in zip(self.at_term[terms].tolist(), self.at_term[terms + 1].tolist(), strict=True)]
-        docs = np.concatenate([self.post_doc[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.post_weight[s] for s in spans]), minlength=len(self.unused))
-        scores[~self.unused] = 0
+        if spans:
+            docs = np.concatenate([self.post_doc[s] for s in spans])
+            scores += np.bincount(docs, np.concatenate([self.post_weight[s] for s in spans]), minlength=len(scores))
+        scores[~self.unused[self.listed]] = 0
+        scores = scores.round(9)  # sums that should be equal are
         found = np.nonzero(scores)[0]
         if len(found) > 32:  # a window mostly takes few: those first
             least = np.partition(scores[found], -8)[-8]
             top = found[scores[found] >= least]
-            yield from top[np.lexsort((top, -scores[top]))].tolist()
+            yield from self.listed[top[np.lexsort((top, -scores[top]))]].tolist()
             found = found[scores[found] < least]
-        yield from found[np.lexsort((found, -scores[found]))].tolist()
+        yield from self.listed[found[np.lexsort((found, -scores[found]))]].tolist()
 
 
 def fill(lengths: np.ndarray, shard: Shard, window: int) -> list[list[tuple[int, int, int]]]:
