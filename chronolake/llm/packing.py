@@ -70,16 +70,17 @@ class Words:
             raw = ids.tobytes()
             self.pieces.update(zip(group, [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
 
-    def learn(self, fresh: list[bytes]) -> None:
+    def learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that aren't known yet."""
         raw = pa.array(fresh, pa.binary())
         texts = pc.cast(raw, options=pc.CastOptions(pa.string(), allow_invalid_utf8=True))
         simple = pc.and_not(pc.match_substring_regex(texts, _PLAIN), pc.match_substring(texts, "<|"))
         low = pc.utf8_lower(pc.if_else(simple, texts, ""))
         parts = pc.extract_regex(low, _LETTERS)
         plain = pc.and_(simple, parts.is_valid())
-        self._rest(self.whole, raw.filter(pc.invert(simple)), [w.decode("utf-8", "replace") for w in raw.filter(pc.invert(simple)).to_pylist()])
+        new = self._rest(self.whole, raw.filter(pc.invert(simple)), [w.decode("utf-8", "replace") for w in raw.filter(pc.invert(simple)).to_pylist()])
         odd = pc.and_not(simple, plain)
-        self._rest(self.lowered, raw.filter(odd), low.filter(odd).to_pylist())
+        new |= self._rest(self.lowered, raw.filter(odd), low.filter(odd).to_pylist())
         parts = parts.filter(plain)
         both = []
         for name in ("letters", "marks"):
@@ -88,16 +89,18 @@ class Words:
             self._merge([x for x in pieces if x not in self.pieces])
             both.append(pa.array([self.pieces[x] for x in pieces], pa.binary()).take(coded.indices))
         words = raw.filter(plain).to_pylist()
-        self.known.update(zip(words, pc.binary_join_element_wise(*both, b"").to_pylist(), strict=True))
+        new.update(zip(words, pc.binary_join_element_wise(*both, b"").to_pylist(), strict=True))
+        return new
 
     def forget(self) -> None:
         self.known, self.pieces = {b"": b""}, {"": b""}
 
-    def _rest(self, tokenizer, raw: pa.Array, texts: list[str]) -> None:
-        words = raw.to_pylist()
+    def _rest(self, tokenizer, raw: pa.Array, texts: list[str]) -> dict[bytes, bytes]:
+        words, new = raw.to_pylist(), {}
         for at in range(0, len(words), 10_000):
             coded = tokenizer.encode_batch_fast(texts[at : at + 10_000], add_special_tokens=False)
-            self.known.update(zip(words[at : at + 10_000], [np.array(c.ids, "<u2").tobytes() for c in coded], strict=True))
+            new.update(zip(words[at : at + 10_000], [np.array(c.ids, "<u2").tobytes() for c in coded], strict=True))
+        return new
 
     @uncollected
     def encode(self, texts: pa.Array) -> pa.Array:
@@ -106,9 +109,13 @@ class Words:
             self.forget()
         offsets, codes, words = coded_words(texts)
         words = words.to_pylist()
-        if fresh := list(set(words).difference(self.known)):
-            self.learn(fresh)
-        ids = pa.array([self.known[w] for w in words], pa.binary())
+        found = list(map(self.known.get, words))
+        if fresh := [i for i, x in enumerate(found) if x is None]:
+            new = self.learn([words[i] for i in fresh])
+            self.known.update(new)
+            for i in fresh:
+                found[i] = new[words[i]]
+        ids = pa.array(found, pa.binary())
         offsets = pc.subtract(offsets, offsets[0]) if len(offsets) and offsets[0].as_py() else offsets
         return pc.binary_join(pa.ListArray.from_arrays(offsets, ids.take(codes)), b"")
 
@@ -128,17 +135,18 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen, there = ["doc_id", "doc_tokens", "last", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), bool)
-        for batch in slices(batches, 4000):
+        names, seen, there = ["doc_id", "doc_tokens", "last", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), np.uint8)
+        for batch in slices(batches, 10_000):
             ids = pc.binary_join_element_wise(words_of(path, known_words).encode(strings(batch.column(1))), end, b"")
             ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 2
             flat = np.frombuffer(ids.buffers()[2], "<u2")
             lengths = np.diff(ends)
             for low in range(0, len(ids), 64):
-                there[:] = False
                 some = lengths[low : low + 64]
-                there[np.repeat(np.arange(len(some)), some), flat[ends[low] : ends[low] + some.sum()]] = True
-                seen[:size] += there.sum(0)
+                own = np.repeat(np.arange(0, len(some) * size, size), some) + flat[ends[low] : ends[low] + some.sum()]
+                there.ravel()[own] = 1
+                seen[:size] += np.add.reduce(there, axis=0, dtype=np.uint8)
+                there.ravel()[own] = 0
             seen[size:] += len(ids), lengths.sum()
             last = np.full(len(ids), -1)
             begins = np.stack([ends[1:] - lengths % window, ends[1:]], 1)[lengths % window > 0]
