@@ -55,13 +55,38 @@ def test_byte_bpe(docs, empty):
     assert byte_bpe.encoded(empty, BYTE_BPE, public_tokenizers.PATTERN).count() == 0
 
 
-def test_byte_bpe_forgets_and_decodes(spark, docs, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "KEPT", 3)
+def test_byte_bpe_by_several_senders_and_decoded(spark, docs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "SENDER_BYTES", 300)
+    monkeypatch.setattr(byte_bpe, "CHUNK", 3)
+    monkeypatch.setattr(byte_bpe, "LONG_WORD", 6)
     ids = byte_bpe.encoded(docs, BYTE_BPE, public_tokenizers.PATTERN).select("decoded", F.expr("case when n_tokens > 0 then transform(split(cast(ids as string), ' '), x -> cast(x as bigint)) else cast(array() as array<bigint>) end").alias("ids"))
     again = byte_bpe.decoded(ids.withColumnRenamed("decoded", "was"), BYTE_BPE)
     assert again.where("decoded <> was").count() == 0
 
 
+def test_byte_bpe_long_words():
+    ranks = byte_bpe.read_ranks(BYTE_BPE)
+    whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdeinrst", k=n)) for n in (1, 2, 3, 50, 500, 40_000)] + ["ab" * 300, "a" * 777, "\u4e2d\u6587" * 2_000]
+    for w in words:
+        assert byte_bpe.heap_fold(w.encode(), ranks) == whole.encode_ordinary(w)
+
+
+def test_byte_bpe_units():
+    import pyarrow as pa
+    import regex
+
+    cutter, find = byte_bpe.Cutter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(["a", "B", "1", ".", "'s", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u00e9", "\x1c", "\x85", "\u200b"], k=rng.randrange(12))) for _ in range(3_000)]
+    offsets, units, words, counts = cutter.units(pa.array(texts))
+    ends = np.cumsum(counts)
+    own = [words[e - n : e] for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+    for i, t in enumerate(texts):
+        assert [w for u in units[offsets[i] : offsets[i + 1]].tolist() for w in own[u]] == find(t), repr(t)
+
+
 def test_language_model(docs, empty):
     got = language_model.scores(docs, F.col("doc_id") % 3 != 0).collect()
     train, rows = Counter(), texts()
