@@ -11,7 +11,8 @@ The fold's state is copied in each step, so its time grows with the square of a
 bytes, of which real texts have next to none, are folded with a heap of pairs instead, in n log n.
 
 Most texts are cut at single spaces first, as the pattern never joins two stretches between such spaces; each different stretch
-is matched once, with the space before it. Texts with white space on both sides of a space are matched as a whole.
+is matched once, with the space before it. Texts with white space before a space and after it, or the text's end after it, are
+matched as a whole.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ class Cutter:
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
         """(offsets, units, words, counts): the units of each text, and of each unit its words, one unit's after the other's."""
-        whole = pc.match_substring_regex(texts, f"[{_SPACE}] [{_SPACE}]")
+        whole = pc.match_substring_regex(texts, f"[{_SPACE}] (?:[{_SPACE}]|\\z)")
         lists = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         values = lists.flatten()
         offsets = lists.offsets.to_numpy().astype(np.int64)
