@@ -72,8 +72,13 @@ def rank_map(ranks: dict[bytes, int]) -> str:
     return f"from_json('{json.dumps(buckets, separators=(',', ':'))}', 'array<array<bigint>>')"
 
 
+def folded_words(words: str, ranks: dict[bytes, int]) -> str:
+    """SQL for the ids of each of the arrays of bytes in the array words. The literal is bound to a variable, so the plan has it once."""
+    return f"transform(array({rank_map(ranks)}), rank_table -> transform({words}, w -> {fold('w', ranks)}))[0]"
+
+
 def fold(word: str, ranks: dict[bytes, int]) -> str:
-    """SQL for the ids of the array of bytes word.
+    """SQL for the ids of the array of bytes word; rank_table is the literal.
 
     The state has an element for each piece: the rank of the pair that begins there (also the id of that pair's piece), above
     16 bits of its own id. The smallest element is the next merge, of equal ones the first. Where a word is one token as a
@@ -96,7 +101,7 @@ def fold(word: str, ranks: dict[bytes, int]) -> str:
         slice(s, p + 2, size(s))))[0]"""
     start = f"transform(array(transform({word}, b -> get({first}, b))), q -> transform(q, (a, i) -> {element('a', 'get(q, i + 1)', 'i + 1 < size(q)')}))[0]"
     folded = f"aggregate(sequence(1, greatest(size({word}) - 1, 1)), {start}, (s, i) -> if(array_min(s) < {_NONE << 16}L, {merged}, s))"
-    return f"transform({folded}, x -> x & 65535)".replace("rank_table", rank_map(ranks))
+    return f"transform({folded}, x -> x & 65535)"
 
 
 def heap_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -320,7 +325,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     dealt = rows.mapInArrow(cut_up, "sender long, ids array<bigint>, texts binary, shards array<int>, words array<binary>").repartition(parts, "sender")
     per_shard = dealt.mapInArrow(dealt_words, "shard int, sender long, words binary").repartition(min(shards, parts), "shard")
     words = per_shard.groupBy("shard").applyInArrow(lambda t: distinct(t), "shard int, chunks int, senders array<bigint>, which array<binary>, long array<array<bigint>>, words array<array<smallint>>")
-    folded = words.withColumn("words", F.expr(f"transform(words, w -> {fold('w', ranks)})"))
+    folded = words.withColumn("words", F.expr(folded_words("words", ranks)))
     back = folded.mapInArrow(sent_back, "sender long, shard int, ids binary").repartition(parts, "sender")
     return dealt.groupBy("sender").cogroup(back.groupBy("sender")).applyInArrow(lambda a, b: put_together(a, b), "id long, n_tokens long, ids binary, decoded binary")
 
