@@ -36,9 +36,9 @@ from .common import slices, strings, uncollected
 
 BUCKETS = 1 << 15
 #: Bytes of text that a sender works on at once.
-SENDER_BYTES = 16 << 20
+SENDER_BYTES = 12 << 20
 #: Senders that one task puts together, one after the other.
-SENDERS_A_TASK = 2
+SENDERS_A_TASK = 1
 #: Longer words (in bytes) are folded with a heap.
 LONG_WORD = 128
 #: Words that are folded in one row.
@@ -219,7 +219,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, size = TaskContext.get().partitionId() << 24, [], [], 0
-        for batch in slices(batches, 100):
+        for batch in slices(batches, 20):
             ids.append(batch.column(0).cast(pa.int64()))
             texts.append(strings(batch.column(1)))
             size += pc.sum(pc.binary_length(texts[-1])).as_py() or 0
