@@ -34,7 +34,7 @@ _NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 #: Words that an executor's process keeps the ids of; the table is emptied when it holds more.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 900_000
 #: Words of these characters only are lowered one by one, and normal form C leaves them as they are.
 _PLAIN = r"^[\x00-\x{12f}\x{131}-\x{24f}]*$"
 #: Letters with ASCII punctuation after them.
@@ -136,7 +136,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, seen, there = ["doc_id", "doc_tokens", "last", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), np.uint8)
-        for batch in slices(batches, 10_000):
+        for batch in slices(batches, 4000):
             ids = pc.binary_join_element_wise(words_of(path, known_words).encode(strings(batch.column(1))), end, b"")
             ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64) // 2
             flat = np.frombuffer(ids.buffers()[2], "<u2")
