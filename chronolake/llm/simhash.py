@@ -6,13 +6,19 @@ binary Golay code [23, 12, 7] is perfect: every 23-bit word lies within three bi
 codewords reached by decoding a segment and its one-bit neighbours (one or six of them) are therefore shared
 by any two segments at most two bits apart: the word midway between them decodes to one codeword for both.
 So the keys (whole segment, codeword index of the next segment) lose no link.
+
+Similar texts (similar_texts) are further apart: five-word shingles that agree to 0.8 leave 5 to 15 of 64 bits different,
+mostly bits that were nearly even. Each segment is decoded after flipping any of its least certain bits, and the keys are the
+codeword indices of two segments at a time: a pair of texts is found if two of its three segments, each with some of its doubtful
+bits flipped on either side, decode alike (errors that don't fit into two segments, the third one may have). Candidates
+are verified by the similarity of their shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_and_bytes, slices
+from .common import connected_components, cut, id_and_bytes, slices, written
 
 # The generator polynomial of the binary Golay code [23, 12, 7], x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -30,25 +36,38 @@ MAX_BITS = 2
 SMALL_BUCKET = 512
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; of fewer words the hash of all, of none nothing."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = memoryview(b" ".join(words))
     if len(words) < shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     first, last = (ends - lengths)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], seed) for s, e in zip(first, last, strict=True)], np.uint64)
+    return np.array([digest(joined[s:e], seed) for s, e in zip(first, last, strict=True)], np.uint64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.ascontiguousarray(hashes[at : at + (1 << 16)]).view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(hashes), bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text's word shingles; 0 for a text without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return majority(bit_counts(hashes), len(hashes))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -185,7 +204,145 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that have a smaller id in their group of near duplicates."""
-    later = near_duplicates(docs, id_col, text_col).where("id <> component_id").select(F.col("id").alias("later_id")).distinct()
-    return docs.join(later, docs[id_col] == F.col("later_id"), "left_anti")
+#: Least certain bits of each segment that are flipped in any combination before decoding.
+DOUBTFUL = 3
+#: Candidates differ in at most so many of 64 bits; texts whose shingles agree to 0.8 rarely differ in more.
+CANDIDATE_BITS = 18
+#: Candidates in one bucket that are compared with each other at once; larger buckets go by leaders.
+PAIRED_BUCKET = 64
+#: Texts verified against one copy of a leader's shingles.
+SALTED = 1_000
+LATER = "__later_id_of_a_near_copy__"
+
+
+def doubtful_keys(fps: np.ndarray, doubt: np.ndarray, doubtful: int = DOUBTFUL) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): two segments' codeword indices at a time. doubt holds for each row the 64 bits' distances from a tie."""
+    index, found = golay_index(), []
+    for at, width in SEGMENTS:
+        value = ((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None]
+        flips = np.int64(1) << np.argsort(doubt[:, at : at + width], axis=1, kind="stable")[:, :doubtful]
+        for k in range(flips.shape[1]):
+            value = np.concatenate([value, value ^ flips[:, k : k + 1]], axis=1)
+        found.append(index[value].astype(np.int64))
+    rows, keys = [], []
+    for i in range(3):
+        a, b = found[i], found[(i + 1) % 3]
+        both = ((a[:, :, None] << 12) | b[:, None, :]).reshape(len(a), -1)
+        both.sort(axis=1)
+        fresh = np.ones(both.shape, bool)
+        fresh[:, 1:] = both[:, 1:] != both[:, :-1]
+        r, c = np.nonzero(fresh)
+        rows.append(r)
+        keys.append((np.int64(i) << 24) | both[r, c])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def led(nodes: np.ndarray, fps: np.ndarray, most_bits: int = CANDIDATE_BITS) -> np.ndarray:
+    """Pairs of a large bucket (in the order of its nodes) to verify: the least node leads and is paired with all within
+    most_bits of it; the others go on with their least node. So pairs grow with the bucket, not with its square."""
+    pairs = []
+    while len(nodes) > 1:
+        near = np.bitwise_count(fps[1:] ^ fps[0]) <= most_bits
+        own = nodes[1:][near]
+        pairs.append(np.stack([own, np.full(len(own), nodes[0])], 1))
+        nodes, fps = nodes[1:][~near], fps[1:][~near]
+    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): the smallest id reachable over texts whose sets of word shingles have a Jaccard similarity of at least similarity.
+
+    Words are lower-cased (A-Z); a text of fewer words has one shingle, all of them. Texts with the same shingles are one class
+    (their smallest id), found by a grouped minimum first, so a group of copies of any size costs one row. Null and empty texts
+    and texts of white space have no shingle and are one class. Candidates come by doubtful_keys and are verified by
+    all their shingles. Of two classes that differ in many bits the keys may miss a link (README has the recall); no pair below
+    the similarity is linked. In large buckets a class is verified against its leader only. Rows with null ids are linked to
+    nothing; repeated rows are kept as they are; an empty table gives an empty result. Other columns of docs are not read.
+    """
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2000):
+            ids, texts = id_and_bytes(batch)
+            same, fps = [], np.zeros(len(texts), np.uint64)
+            doubt = np.zeros((len(texts), 64), np.float32)
+            for n, t in enumerate(texts):
+                hashes = shingle_hashes(t, shingle)
+                ones = bit_counts(hashes)
+                fps[n], doubt[n] = majority(ones, len(hashes)), np.abs(ones * 2 - len(hashes)) / max(1, len(hashes))
+                same.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
+            row, key = doubtful_keys(fps, doubt)
+            order = np.argsort(row, kind="stable")
+            counts = np.bincount(row, minlength=len(texts))
+            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys], ["id", "same", "fp", "keys"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            # the last bucket may go on in the next batch
+            upto = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+            key, node, fp = (x[:upto] for x in held)
+            held = [x[upto:] for x in held]
+            starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
+            counts = np.diff(starts)
+            fp = fp.view(np.uint64)
+            small = counts <= PAIRED_BUCKET
+            own = np.repeat(small, counts)
+            i, j = _pairs_within(counts[small])
+            n, f = node[own], fp[own]
+            near = np.bitwise_count(f[i] ^ f[j]) <= CANDIDATE_BITS
+            parts = [np.stack([n[i[near]], n[j[near]]], 1)]
+            parts += [led(node[s:e], fp[s:e]) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
+            pairs = np.concatenate(parts)
+            pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 500):
+            ok = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>"), "sketches")
+    classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys"), "id").alias("x"))
+    classes = written(classes.select("same", "x.*").withColumnRenamed("id", "node"), "classes")
+    keyed = classes.select("node", "fp", F.explode("keys").alias("key")).select("key", "node", "fp")
+    pairs = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(found, "a long, b long").distinct())
+    # the shingles of the texts that are in a pair, once for each class
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = rows.join(needed, "id").groupBy("id").agg(F.max("text").alias("text"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            ids, own = id_and_bytes(batch)
+            yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in own], pa.binary())], ["id", "shingles"])
+
+    sets = written(texts.select("id", "text").mapInArrow(listed, "id long, shingles binary"), "shingles", "none")
+    # a class that very many others are paired with has its shingles once for each SALTED of them
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(salts, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    links = left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    groups = connected_components(links)
+    component = classes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    return sketches.select("id", "same").join(component, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without those that have a smaller id in their group of similar texts, by similar_texts.
+
+    Rows with null ids stay, and so do all rows with the id that stays. All columns of docs stay, whatever their names.
+    """
+    later = similar_texts(docs, id_col, text_col, shingle, similarity).where("id <> component_id").select(F.col("id").alias(LATER)).distinct()
+    return docs.join(later, docs[id_col].cast("long") == later[LATER], "left_anti")
