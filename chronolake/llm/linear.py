@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .common import id_and_bytes
 
 
+#: The ids of rejected rows, under a name that no table has.
+REJECTED = "__rejected_id_of_a_classifier__"
+
+
 class Ftrl:
     """Per-coordinate FTRL-proximal weights."""
 
@@ -51,7 +55,8 @@ class Codes(dict):
 def fitting_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, y) of about most labelled documents, chosen by a hash of the id; all of them if there are fewer.
 
-    usable is a condition on the id column. Labels that are null are skipped; repeated ones count once.
+    usable is a condition on the id column. Labels that are null are skipped; repeated ones count once, as 1 if any is.
+    Of texts with one id the greatest counts; a null text is empty. Without labels, or in an empty table, nothing is chosen.
     """
     known = labels.where(usable & F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label) > 0).cast("int").alias("y"))
     there = max(1, known.count())

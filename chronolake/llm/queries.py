@@ -24,10 +24,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_hpyp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's log10 probability; the fold crc32(doc_id) mod 7 = 2 is never learnt from."""
+    """Every document's log10 probability; the fold crc32(doc_id) mod 7 = 2 is never learnt from. Rows with null ids aren't
+    learnt from either, and aren't held_out."""
     fold = fold_of("doc_id", 7)
     found = language_model.scores(table(spark, sf_dir, "documents"), fold != 2).withColumnRenamed("id", "doc_id")
-    return found.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), fold_of("doc_id", 4)
     model = quality.train(docs, table(spark, sf_dir, "labels"), fold != 2)
     scored = quality.score(docs, model).withColumnRenamed("id", "doc_id")
-    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op5_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +60,7 @@ def op7_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, fold = table(spark, sf_dir, "documents"), fold_of("doc_id", 5)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold != 0)
     scored = toxicity.score(docs, model).withColumnRenamed("id", "doc_id")
-    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

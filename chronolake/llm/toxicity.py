@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_bytes, slices
-from .linear import Codes, Ftrl, fit_in_one_task, fitting_sample
+from .linear import REJECTED, Codes, Ftrl, fit_in_one_task, fitting_sample
 
 BITS = 20
 #: Where a sentence's logit starts from; sentences are clean unless a word says otherwise.
@@ -95,7 +95,11 @@ def score(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
 
 def offending_sentences(docs: DataFrame, model: bytes, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sentence, score, words): sentences that by themselves reach the threshold, numbered from 0 in their text."""
+    """(id, sentence, score, words): sentences that by themselves reach the threshold, numbered from 0 in their text.
+
+    Null and empty texts and texts of white space have no sentence. Rows with one id or a null one each have their sentences. An
+    empty table gives an empty result. Other columns of docs are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, coded = np.frombuffer(model, np.float32).astype(np.float64), Codes(word_code)
@@ -121,6 +125,10 @@ def offending_sentences(docs: DataFrame, model: bytes, threshold: float = THRESH
 
 
 def accepted(docs: DataFrame, model: bytes, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs that score below threshold, with all their columns."""
-    high = score(docs, model, id_col, text_col).where(F.col("score") >= threshold).select(F.col("id").alias("rejected_id")).distinct()
-    return docs.join(high, docs[id_col] == F.col("rejected_id"), "left_anti")
+    """docs that score below threshold, with all their columns, whatever their names.
+
+    Null and empty texts score 0 and stay. Of rows with one id all go if one is rejected; rows with null ids stay. An empty
+    table stays empty.
+    """
+    high = score(docs, model, id_col, text_col).where(F.col("score") >= threshold).select(F.col("id").alias(REJECTED)).distinct()
+    return docs.join(high, docs[id_col].cast("long") == high[REJECTED], "left_anti")
