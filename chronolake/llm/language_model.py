@@ -5,7 +5,7 @@ in the training texts. The restaurants of one group of contexts share a parent r
 tables; its base is the corpus-wide distribution of single tokens: (c + 1) / (N + V + 1) for
 every known token, and 1 / (N + V + 1) for all unknown ones together. Shards get the counts of the tokens that occur there
 and aren't in the table of frequent ones. Seatings are sampled by Gibbs: a round draws the number of tables of each
-dish of few customers exactly, given its count, and lets each customer of the other dishes leave and be seated anew. The
+dish anew, given its count (in Metropolis steps where there are many customers). The
 parent's seating goes on from sample to sample. A token's probability is the mean over the samples after burn-in.
 
 A context that makes up much of a shard is split by its tokens' hash into several restaurants, each weighed with the share
@@ -18,20 +18,18 @@ Shards get (context, token, document) as compressed blocks, one for each sender;
 
 from __future__ import annotations
 
-import random
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_bytes, runs, slices, uncollected, written
+from .common import coded_words, runs, slices, strings, uncollected, written
 from .suffixes import pack, unpack
 
 #: Most entries of the table of frequent tokens that every task gets (12 bytes each).
@@ -42,8 +40,11 @@ SHARD_TOKENS = 2_500_000
 PARENTS = 3
 #: Gibbs rounds between samples, samples thrown away, samples kept.
 ROUNDS, BURN_IN, SAMPLES = 6, 2, 3
-#: The tables of dishes with at most so many customers are drawn as numbers; others' customers are moved one by one.
+#: The number of tables of dishes with at most so many customers is drawn from its whole distribution; that of others moves.
 DRAWN = 64
+#: Greatest steps of those moves in a round, and the customers and tables up to which their weights are worked out.
+MOVES = (1000, 300, 100, 30, 10, 3, 1, 100, 30, 10, 3, 1)
+SHAPED, SHAPED_TABLES = 20_000, 4_096
 DISCOUNTS = (0.5, 0.7, 0.85, 0.95)
 STRENGTHS = (0.5, 2.0, 10.0, 50.0, 250.0, 2000.0)
 PARENT_STRENGTHS = (1e3, 1e4, 1e5, 1e6, 1e7, 1e8)
@@ -58,31 +59,38 @@ def word_hash(word: bytes) -> int:
 END = word_hash(b"\n")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, places, sizes): each text's words as places among the different ones; A-Z in lower case."""
+    offsets, places, words = coded_words(pc.ascii_lower(texts))
+    ends, places = offsets.to_numpy().astype(np.int64), places.to_numpy()
+    there = (pc.binary_length(words).to_numpy() > 0)[places]
+    sizes = np.diff(np.concatenate([[0], np.cumsum(there)])[ends - ends[0]])
+    return words, places[there], sizes
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(word_hash, words.to_pylist()), np.int64, len(words))
 
 
 def training_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(h, c): how often each token is in these texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        ends = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            h = np.fromiter(map(word_hash, counts), np.int64, len(counts))
-            c = np.fromiter(counts.values(), np.int64, len(counts))
-            return pa.RecordBatch.from_arrays([pa.array(np.append(h, END)), pa.array(np.append(c, ends))], ["h", "c"])
-
-        for batch in slices(batches, 1000):
-            for t in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update(words_of(t or b""))
-                ends += 1
-            if len(counts) > 500_000:
+            h, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            kinds, of = np.unique(h, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.bincount(of, c, len(kinds)).astype(np.int64))], ["h", "c"])
+
+        for batch in slices(batches, 4000):
+            words, places, sizes = words_of(strings(batch.column(0)))
+            held.append((np.append(hashes_of(words), END), np.append(np.bincount(places, minlength=len(words)), len(sizes))))
+            if sum(len(h) for h, _ in held) > 1_500_000:
                 yield flush()
-                counts.clear()
-                ends = 0
-        yield flush()
+                held.clear()
+        if held:
+            yield flush()
 
     return docs.select(text_col).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 0")
 
@@ -101,10 +109,6 @@ class Vocabulary:
         rest = types - len(counts)
         self.rare = (tokens - int(counts.sum()) + rest + 1) / (rest + 1) / whole
         self.rare_mass = self.rare * (rest + 1)
-        self.known: dict[bytes, int] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"known": {}}
 
     def code(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of frequent tokens; -1 - hash of all others."""
@@ -114,18 +118,15 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.ranks[at], -1 - hashes)
 
     @uncollected
-    def codes(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    def codes(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the texts' tokens, ends included, and each text's number of them."""
-        if len(self.known) > 500_000:
-            self.known.clear()
-        fresh = list(set().union(*texts).difference(self.known))
-        self.known.update(zip(fresh, self.code(np.fromiter(map(word_hash, fresh), np.int64, len(fresh))).tolist(), strict=True))
-        end = int(self.code(np.array([END]))[0])
-        sizes = np.array([len(w) + 1 for w in texts], np.int64)
-        out = np.full(int(sizes.sum()), end)
-        words = np.ones(len(out), bool)
-        words[np.cumsum(sizes) - 1] = False
-        out[words] = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64, len(out) - len(texts))
+        words, places, sizes = words_of(texts)
+        own = self.code(hashes_of(words))
+        sizes = sizes + 1
+        out = np.full(int(sizes.sum()), int(self.code(np.array([END]))[0]))
+        inner = np.ones(len(out), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        out[inner] = own[places]
         return out, sizes
 
     def base_of(self, codes: np.ndarray, rare: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
@@ -186,28 +187,53 @@ def shard_of(u: np.ndarray, codes: np.ndarray, vocabulary: Vocabulary, quota: fl
     return ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+@lru_cache(8)
+def log_shapes(discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """(customers, log shapes): for customers in steps of two hundredths up to SHAPED, how the weight of t tables (first column
+    one table) goes beside (weight of a table / discount)^t / gamma(t). Worked out by the recursion over customers."""
+    steps = np.unique(np.concatenate([np.arange(1, 65), (64 * 1.02 ** np.arange(0, np.log(SHAPED / 64) / np.log(1.02))).astype(np.int64), [SHAPED]]))
+    t = np.arange(1, SHAPED_TABLES + 1)
+    row, out, at = np.zeros(SHAPED_TABLES), np.empty((len(steps), SHAPED_TABLES), np.float32), 0
+    row[0] = 1
+    joins = discount * (t[1:] - 1)
+    with np.errstate(divide="ignore"):
+        for c in range(1, SHAPED + 1):
+            if c == steps[at]:
+                out[at] = np.log(row)
+                at += 1
+            stay = row * np.maximum(c - discount * t, 0)
+            stay[1:] += row[:-1] * joins
+            row = stay / c
+    return steps, out
+
+
+_LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 1 << 16)))])
+
+
+def log_gamma(t: np.ndarray) -> np.ndarray:
+    """Of whole numbers from 1 on."""
+    x = t - 1.0
+    return np.where(x < len(_LOG_FACTORIAL), _LOG_FACTORIAL[np.minimum(t - 1, len(_LOG_FACTORIAL) - 1)], x * np.log(np.maximum(x, 1)) - x + 0.5 * np.log(2 * np.pi * np.maximum(x, 1)))
+
+
 class Seating:
-    """Tables of the dishes that have two customers or more, one table each at first; other dishes keep one table.
+    """The number of tables of each dish; a dish of one customer has one table. One table each at first.
 
-    Dishes of at most so many customers as drawn says have a number of tables and no seats.
+    All seatings of a dish with the same number of tables weigh their arrangements' generalised Stirling number together, so the
+    number is all that is kept. A round draws it given the dish's customers: for at most drawn customers from its
+    whole distribution, for more by Metropolis steps of several sizes on that distribution.
     """
 
     def __init__(self, counts: np.ndarray, restaurant: np.ndarray, restaurants: int, rng: np.random.Generator, drawn: int = 0):
-        self.rng, self.restaurants, self.drawn = rng, restaurants, drawn
-        self.restaurant = restaurant
-        self.t = self.seat = self.size = np.zeros(0, np.int64)
+        self.rng, self.restaurants, self.drawn, self.restaurant = rng, restaurants, drawn, restaurant
         self._place(counts)
         self.t = np.ones(len(self.at), np.int64)
-        self.size[self.start] = self.c[self.seated]
         self._count()
 
     def _place(self, counts: np.ndarray) -> None:
         self.counts, self.at = counts, np.nonzero(counts > 1)[0]
         self.c = counts[self.at]
-        self.seated = np.nonzero(self.c > self.drawn)[0]
-        c = self.c[self.seated]
-        self.start = np.cumsum(c) - c
-        self.seat, self.size = np.repeat(self.start, c), np.zeros(int(c.sum()), np.int64)
+        self.few, self.many = np.nonzero(self.c <= self.drawn)[0], np.nonzero(self.c > self.drawn)[0]
 
     def _count(self) -> None:
         self.tables = (self.counts > 0).astype(np.int64)
@@ -215,22 +241,10 @@ class Seating:
         self.totals = np.bincount(self.restaurant, self.tables, self.restaurants)
 
     def change(self, counts: np.ndarray) -> None:
-        """Goes on with other counts: who is too many leaves, at random; who is new shares a table until the next round."""
-        old = {int(self.at[k]): (self.seat[a : a + self.c[k]] - a, int(self.c[k])) for k, a in zip(self.seated.tolist(), self.start.tolist(), strict=True)}
+        """Goes on with other counts: who is too many leaves; who is new shares a table until the next round."""
         tables = self.tables
         self._place(counts)
         self.t = np.clip(tables[self.at], 1, self.c)
-        for k, a in zip(self.seated.tolist(), self.start.tolist()):
-            c, dish = int(self.c[k]), int(self.at[k])
-            if dish in old:
-                seats, was = old[dish]
-                seats = self.rng.permutation(seats)[:c] if was > c else np.append(seats, self.rng.choice(seats, c - was))
-                seats = np.unique(seats, return_inverse=True)[1]
-            else:  # had a number of tables only
-                seats = np.append(np.arange(self.t[k]), self.rng.integers(0, self.t[k], c - self.t[k]))
-            self.seat[a : a + c] = a + seats
-            self.size[a : a + c] = np.bincount(seats, minlength=c)
-            self.t[k] = int(seats.max()) + 1
         self._count()
 
     def round(self, parent: np.ndarray, discount: np.ndarray, strength: np.ndarray) -> None:
@@ -245,47 +259,43 @@ class Seating:
         r = self.restaurant[self.at]
         d = discount[r]
         weight = np.maximum(d * mass[r] * parent[self.at], 1e-300)
-        few = np.nonzero(self.c <= self.drawn)[0]
-        if len(few):
-            kinds, kind = np.unique(d[few], return_inverse=True)
-            key = kind * (self.drawn + 1) + self.c[few]
+        kinds, kind = np.unique(d, return_inverse=True)
+        if len(few := self.few):
+            key = kind[few] * (self.drawn + 1) + self.c[few]
             few, key = few[order := np.argsort(key, kind="stable")], key[order]
             for k, own in runs(key):
                 c, at = k % (self.drawn + 1), few[own]
+                if c == 2:  # one table by 1 - discount, two by the weight
+                    self.t[at] = 1 + (self.rng.random(len(at)) * (weight[at] + 1 - kinds[k // (self.drawn + 1)]) < weight[at])
+                    continue
                 p = log_arrangements(float(kinds[k // (self.drawn + 1)]), self.drawn)[c, 1 : c + 1] + np.log(weight[at])[:, None] * np.arange(1, c + 1)
                 p = np.cumsum(np.exp(p - p.max(1, keepdims=True)), axis=1)
                 self.t[at] = 1 + (p[:, :-1] < (self.rng.random(len(at)) * p[:, -1])[:, None]).sum(1)
-        for k, a in zip(self.seated.tolist(), self.start.tolist(), strict=True):
-            self._sweep(k, a, float(d[k]), float(weight[k]))
+        for k in np.unique(kind[self.many]).tolist():
+            at = self.many[kind[self.many] == k]
+            self.t[at] = self._moved(self.t[at], self.c[at], float(kinds[k]), np.log(weight[at]))
         self._count()
 
-    def _sweep(self, k: int, start: int, d: float, weight: float) -> None:
-        """Each customer of one dish leaves its table and is seated anew."""
-        c, t = int(self.c[k]), int(self.t[k])
-        seat, size = (self.seat[start : start + c] - start).tolist(), self.size[start : start + c].tolist()
-        free = [n for n in range(c) if not size[n]]
-        rng = random.Random(int(self.rng.integers(1 << 62)))
-        draw = rng.random
-        for who in range(c):
-            table = seat[who]
-            size[table] -= 1
-            if not size[table]:
-                t -= 1
-                free.append(table)
-            if draw() * (weight + c - 1 - d * t) < weight or not t:
-                table = free.pop()
-                t += 1
-            else:
-                while True:  # a table is joined as its size less the discount
-                    other = int(draw() * (c - 1))
-                    table = seat[other + (other >= who)]
-                    if draw() * size[table] < size[table] - d:
-                        break
-            seat[who] = table
-            size[table] += 1
-        self.seat[start : start + c] = np.array(seat) + start
-        self.size[start : start + c] = size
-        self.t[k] = t
+    def _moved(self, t: np.ndarray, c: np.ndarray, d: float, log_weight: np.ndarray) -> np.ndarray:
+        """The numbers of tables after some Metropolis steps."""
+        steps, shapes = log_shapes(d)
+        row = np.minimum(np.searchsorted(steps, c), len(steps) - 1)
+        row -= (row > 0) & (c < SHAPED) & (c - steps[np.maximum(row - 1, 0)] < steps[row] - c)
+        scale = np.minimum(1.0, SHAPED / c) ** d  # beyond, the shape is that of as many tables in proportion
+
+        def log_target(t: np.ndarray) -> np.ndarray:
+            place = np.maximum(np.rint(t * scale).astype(np.int64), 1)
+            shape = np.where(place <= SHAPED_TABLES, shapes[row, np.minimum(place, SHAPED_TABLES) - 1], -np.inf)
+            return shape + t * (log_weight - np.log(d)) - log_gamma(t)
+
+        now = log_target(t)
+        for size in MOVES:
+            other = t + self.rng.integers(1, size + 1, len(t)) * self.rng.choice((-1, 1), len(t))
+            inside = (other >= 1) & (other <= c)
+            there = log_target(np.where(inside, other, t))
+            go = inside & (np.log(self.rng.random(len(t))) < there - now)
+            t, now = np.where(go, other, t), np.where(go, there, now)
+        return t
 
 
 def best(grid: list[tuple[float, float]], likelihood, bands: int) -> tuple[np.ndarray, np.ndarray]:
@@ -408,13 +418,13 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for batch in slices(batches, 1000):
-            ids, texts = id_and_bytes(batch)
-            codes, sizes = v.codes([words_of(t) for t in texts])
+            ids, texts = batch.column(0).cast(pa.int64()), strings(batch.column(1))
+            codes, sizes = v.codes(texts)
             text = np.repeat(np.arange(len(texts)), sizes)
             often = codes >= 0
             known = np.bincount(text[often], minlength=len(texts))
             base = np.bincount(text[often], np.log10(v.counts[codes[often]] + 1) - log_whole, len(texts)) - 0.0
-            twin = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
+            twin = np.fromiter(map(xxhash.xxh32_intdigest, texts.cast(pa.binary()).to_pylist()), np.int64, len(texts))
             of, h, at = text[~often], -1 - codes[~often], shard_of(contexts_of(codes, sizes)[~often], codes[~often], v, quota, shards)
             order = np.lexsort((at, h, of))
             of, h, at = of[order], h[order], at[order]
@@ -462,9 +472,9 @@ def scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64())] + [pa.array(c, pa.binary()) for c in cols[2:]], ["shard", "sender", "ids", "twins", "trains", "docs", "contexts", "tokens"])
 
         for batch in slices(batches, 1000):
-            ids, texts = id_and_bytes(batch)
-            codes, sizes = v.codes([words_of(t) for t in texts])
-            twin = np.array([xxhash.xxh32_intdigest(t) for t in texts], np.int64)
+            ids, texts = batch.column(0).cast(pa.int64()), strings(batch.column(1))
+            codes, sizes = v.codes(texts)
+            twin = np.fromiter(map(xxhash.xxh32_intdigest, texts.cast(pa.binary()).to_pylist()), np.int64, len(texts))
             held.append((ids.fill_null(np.iinfo(np.int64).min).to_numpy(), twin, batch.column(2).to_numpy(zero_copy_only=False), sizes, codes))
             size += len(codes)
             if size > 2_000_000 or len(held) >= 60:
