@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Least certain bits of each segment that are flipped in any combination before decoding.
 DOUBTFUL = 3
 #: Candidates differ in at most so many of 64 bits; texts whose shingles agree to 0.8 rarely differ in more.
-CANDIDATE_BITS = 18
+CANDIDATE_BITS = 16
 #: Candidates in one bucket that are compared with each other at once; larger buckets go by leaders.
 PAIRED_BUCKET = 64
 #: Texts verified against one copy of a leader's shingles.
@@ -237,15 +237,20 @@ def doubtful_keys(fps: np.ndarray, doubt: np.ndarray, doubtful: int = DOUBTFUL)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def led(nodes: np.ndarray, fps: np.ndarray, most_bits: int = CANDIDATE_BITS) -> np.ndarray:
-    """Pairs of a large bucket (in the order of its nodes) to verify: the least node leads and is paired with all within
-    most_bits of it; the others go on with their least node. So pairs grow with the bucket, not with its square."""
+def near_enough(fps: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which may be similar: few different bits, and numbers of shingles that allow it."""
+    return (np.bitwise_count(fps ^ others) <= CANDIDATE_BITS) & (np.minimum(sizes, other_sizes) >= similarity * np.maximum(sizes, other_sizes))
+
+
+def led(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs of a large bucket (in the order of its nodes) to verify: the least node leads and is paired with all that are
+    near enough; the others go on with their least node. So pairs grow with the bucket, not with its square."""
     pairs = []
     while len(nodes) > 1:
-        near = np.bitwise_count(fps[1:] ^ fps[0]) <= most_bits
+        near = near_enough(fps[1:], fps[0], sizes[1:], sizes[0], similarity)
         own = nodes[1:][near]
         pairs.append(np.stack([own, np.full(len(own), nodes[0])], 1))
-        nodes, fps = nodes[1:][~near], fps[1:][~near]
+        nodes, fps, sizes = nodes[1:][~near], fps[1:][~near], sizes[1:][~near]
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
 
 
@@ -255,7 +260,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are lower-cased (A-Z); a text of fewer words has one shingle, all of them. Texts with the same shingles are one class
     (their smallest id), found by a grouped minimum first, so a group of copies of any size costs one row. Null and empty texts
     and texts of white space have no shingle and are one class. Candidates come by doubtful_keys and are verified by
-    all their shingles. Of two classes that differ in many bits the keys may miss a link (README has the recall); no pair below
+    all their shingles (32 bits of each one's hash). Of two classes that differ in many bits the keys may miss a link (README has the recall); no pair below
     the similarity is linked. In large buckets a class is verified against its leader only. Rows with null ids are linked to
     nothing; repeated rows are kept as they are; an empty table gives an empty result. Other columns of docs are not read.
     """
@@ -263,18 +268,20 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             ids, texts = id_and_bytes(batch)
-            same, fps = [], np.zeros(len(texts), np.uint64)
+            same, sizes, fps = [], [], np.zeros(len(texts), np.uint64)
             doubt = np.zeros((len(texts), 64), np.float32)
             for n, t in enumerate(texts):
                 hashes = shingle_hashes(t, shingle)
                 ones = bit_counts(hashes)
                 fps[n], doubt[n] = majority(ones, len(hashes)), np.abs(ones * 2 - len(hashes)) / max(1, len(hashes))
-                same.append(xxhash.xxh3_128_digest(np.unique(hashes).tobytes()))
+                kinds = np.unique(hashes)
+                sizes.append(len(kinds))
+                same.append(xxhash.xxh3_128_digest(kinds.tobytes()))
             row, key = doubtful_keys(fps, doubt)
             order = np.argsort(row, kind="stable")
             counts = np.bincount(row, minlength=len(texts))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys], ["id", "same", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys, pa.array(sizes, pa.int32())], ["id", "same", "fp", "keys", "n"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -286,7 +293,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             # the last bucket may go on in the next batch
             upto = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-            key, node, fp = (x[:upto] for x in held)
+            key, node, fp, size = (x[:upto] for x in held)
             held = [x[upto:] for x in held]
             starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
             counts = np.diff(starts)
@@ -294,10 +301,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             small = counts <= PAIRED_BUCKET
             own = np.repeat(small, counts)
             i, j = _pairs_within(counts[small])
-            n, f = node[own], fp[own]
-            near = np.bitwise_count(f[i] ^ f[j]) <= CANDIDATE_BITS
+            n, f, m = node[own], fp[own], size[own]
+            near = near_enough(f[i], f[j], m[i], m[j], similarity)
             parts = [np.stack([n[i[near]], n[j[near]]], 1)]
-            parts += [led(node[s:e], fp[s:e]) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
+            parts += [led(node[s:e], fp[s:e], size[s:e], similarity) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
             pairs = np.concatenate(parts)
             pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -306,7 +313,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in slices(batches, 500):
             ok = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
@@ -314,10 +321,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>"), "sketches")
-    classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys"), "id").alias("x"))
+    sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>, n int"), "sketches")
+    classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys", "n"), "id").alias("x"))
     classes = written(classes.select("same", "x.*").withColumnRenamed("id", "node"), "classes")
-    keyed = classes.select("node", "fp", F.explode("keys").alias("key")).select("key", "node", "fp")
+    keyed = classes.select("node", "fp", "n", F.explode("keys").alias("key")).select("key", "node", "fp", "n")
     pairs = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(found, "a long, b long").distinct())
     # the shingles of the texts that are in a pair, once for each class
     needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -326,7 +333,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             ids, own = id_and_bytes(batch)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in own], pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in own], pa.binary())], ["id", "shingles"])
 
     sets = written(texts.select("id", "text").mapInArrow(listed, "id long, shingles binary"), "shingles", "none")
     # a class that very many others are paired with has its shingles once for each SALTED of them

@@ -262,6 +262,49 @@ def test_packing_scores_with_all_terms():
         assert 1 in got and 3 not in got and got == want
 
 
+@pytest.mark.parametrize("paired", [64, 3])
+def test_similar_texts(spark, empty, monkeypatch, paired):
+    """Groups by five-word shingles against brute force: nothing joined that isn't similar, next to nothing lost."""
+    monkeypatch.setattr(simhash, "PAIRED_BUCKET", paired)
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(3000)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    made = []
+    for _ in range(60):
+        words = prose(rng.randrange(60, 400))
+        made.append(words)
+        for _ in range(rng.choice((0, 0, 1, 5))):  # near copies, some too far
+            copy = list(words)
+            for _ in range(rng.randrange(0, max(2, len(words) // 25))):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            made.append(copy)
+    rows = [(i, " ".join(w)) for i, w in enumerate(made)] + [(900, ""), (901, None), (902, " \n"), (903, "one two"), (904, "One  two"), (None, " ".join(made[0])), (3, " ".join(made[3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("fp", F.lit(2)).repartition(3)
+    got = {r.id: r.component_id for r in simhash.similar_texts(docs).collect() if r.id is not None}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for i, t in rows if i is not None and (w := (t or "").lower().split()) is not None}
+    group = {i: i for i in sets}
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    linked = 0
+    for i in sets:
+        for j in sets:
+            if j < i and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                linked += 1
+                a, b = root(i), root(j)
+                group[max(a, b)] = min(a, b)
+    want = {i: root(i) for i in sets}
+    assert linked > 50 and all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == want[i] for i in sets) >= 0.98 * len(sets)
+    assert got[902] == got[901] == 900 and got[904] == 903
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None} | {i for i, c in got.items() if i == c}
+    assert simhash.similar_texts(empty).count() == 0
+
+
 def test_quality_and_toxicity(spark, empty):
     rng = random.Random(2)
     common_words = [f"word{i}" for i in range(300)]
