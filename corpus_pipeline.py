@@ -24,7 +24,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document of each group whose five-word shingles are similar to 0.8 or more."""
     return simhash.keep_first(docs)
 
 
@@ -35,7 +35,7 @@ def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of what is left lies in the packed sequences."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), known_words=250_000)
+    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), known_words=250_000, forget=True)
 
 
 STAGES = [
