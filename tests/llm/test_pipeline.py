@@ -45,7 +45,7 @@ def test_stages(spark, corpus):
     assert sum(i % 10 == 7 for i in kept["toxicity"] if i < 400) <= 4
     clean = {i for i in range(400) if i % 10 not in (3, 7)}
     assert clean <= set(kept["toxicity"])
-    assert 1000 not in kept["near_duplicates"] and 1 in kept["near_duplicates"] and clean <= set(kept["near_duplicates"])
+    assert 1000 not in kept["near_duplicates"] and 1001 not in kept["near_duplicates"] and 1 in kept["near_duplicates"] and clean <= set(kept["near_duplicates"])
     last = kept["repeated_passages"]
     assert passage in last[1002] and passage not in last[1003]
     assert all(last[i] == kept["near_duplicates"][i] for i in clean)
