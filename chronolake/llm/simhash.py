@@ -237,21 +237,41 @@ def doubtful_keys(fps: np.ndarray, doubt: np.ndarray, doubtful: int = DOUBTFUL)
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def near_enough(fps: np.ndarray, others: np.ndarray, sizes: np.ndarray, other_sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """Which may be similar: few different bits, and numbers of shingles that allow it."""
-    return (np.bitwise_count(fps ^ others) <= CANDIDATE_BITS) & (np.minimum(sizes, other_sizes) >= similarity * np.maximum(sizes, other_sizes))
+#: The hashes' top bits deal a text's shingles to so many bins; a sketch has one bit of each bin's least hash.
+BINS = 128
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 
 
-def led(nodes: np.ndarray, fps: np.ndarray, sizes: np.ndarray, groups: np.ndarray, similarity: float) -> np.ndarray:
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Two 64-bit words: of each bin the lowest bit of its least hash, 0 for an empty bin. hashes are sorted."""
+    padded = np.append(hashes, np.uint64(0))
+    at = np.searchsorted(hashes, _EDGES)
+    there = np.append(at[1:], len(hashes)) > at
+    return np.packbits((padded[at] & np.uint64(1)).astype(bool) & there, bitorder="little").view(np.uint64)
+
+
+def near_enough(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
+    """Which (fp, number of shingles, two words of the sketch) may be similar: few different bits of the fingerprints, numbers of
+    shingles that allow it, and no more different bits of the sketches than similar texts have, by two and a half deviations."""
+    fps, sizes, x, y = one
+    other_fps, other_sizes, other_x, other_y = other
+    near = (np.bitwise_count(fps ^ other_fps) <= CANDIDATE_BITS) & (np.minimum(sizes, other_sizes) >= similarity * np.maximum(sizes, other_sizes))
+    filled = BINS * (1 - np.exp(-np.maximum(sizes, other_sizes) / BINS))
+    chance = (1 - similarity) / 2
+    different = np.bitwise_count(x ^ other_x).astype(np.int64) + np.bitwise_count(y ^ other_y)
+    return near & (different <= 1 + chance * filled + 2.5 * np.sqrt(chance * (1 - chance) * filled))
+
+
+def led(nodes: np.ndarray, groups: np.ndarray, marks: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
     """Pairs of a large bucket (in the order of its nodes) to verify: the least node leads and is paired with all of other groups
     that are near enough; who is neither near nor of its group goes on with the next least node. So pairs grow with the
     bucket, not with its square."""
     pairs = []
     while len(nodes) > 1:
-        near, own = near_enough(fps[1:], fps[0], sizes[1:], sizes[0], similarity), groups[1:] == groups[0]
+        near, own = near_enough(tuple(m[1:] for m in marks), tuple(m[:1] for m in marks), similarity), groups[1:] == groups[0]
         found = nodes[1:][near & ~own]
         pairs.append(np.stack([found, np.full(len(found), nodes[0])], 1))
-        nodes, fps, sizes, groups = (x[1:][~near & ~own] for x in (nodes, fps, sizes, groups))
+        nodes, groups, *marks = (x[1:][~near & ~own] for x in (nodes, groups, *marks))
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
 
 
@@ -260,7 +280,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are lower-cased (A-Z); a text of fewer words has one shingle, all of them. Texts with the same shingles are one class
     (their smallest id), found by a grouped minimum first, so a group of copies of any size costs one row. Null and empty texts
-    and texts of white space have no shingle and are one class. Candidates come by doubtful_keys and are verified by
+    and texts of white space have no shingle and are one class. Candidates come by doubtful_keys, are sifted by near_enough and verified by
     all their shingles (32 bits of each one's hash). Of two classes that differ in many bits the keys may miss a link (README has the recall); no pair below
     the similarity is linked. In large buckets a class is verified against its leader only;
     a pair that other links join already is not verified. Rows with null ids are linked to
@@ -268,9 +288,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
+        for batch in slices(batches, 1000):
             ids, texts = id_and_bytes(batch)
-            same, sizes, fps = [], [], np.zeros(len(texts), np.uint64)
+            same, sizes, fps, bits = [], [], np.zeros(len(texts), np.uint64), np.zeros((len(texts), 2), np.uint64)
             doubt = np.zeros((len(texts), 64), np.float32)
             for n, t in enumerate(texts):
                 hashes = shingle_hashes(t, shingle)
@@ -278,12 +298,13 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 fps[n], doubt[n] = majority(ones, len(hashes)), np.abs(ones * 2 - len(hashes)) / max(1, len(hashes))
                 kinds = np.unique(hashes)
                 sizes.append(len(kinds))
+                bits[n] = sketch(kinds)
                 same.append(xxhash.xxh3_128_digest(kinds.tobytes()))
             row, key = doubtful_keys(fps, doubt)
             order = np.argsort(row, kind="stable")
             counts = np.bincount(row, minlength=len(texts))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys, pa.array(sizes, pa.int32())], ["id", "same", "fp", "keys", "n"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys, pa.array(sizes, pa.int32()), *[pa.array(bits[:, k].copy().view(np.int64)) for k in (0, 1)]], ["id", "same", "fp", "keys", "n", "x", "y"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -295,18 +316,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             # the last bucket may go on in the next batch
             upto = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-            key, node, fp, size, group = (x[:upto] for x in held)
+            key, node, fp, size, group, x, y = (x[:upto] for x in held)
             held = [x[upto:] for x in held]
             starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
             counts = np.diff(starts)
-            fp = fp.view(np.uint64)
+            marks = (fp.view(np.uint64), size.astype(np.float64), x.view(np.uint64), y.view(np.uint64))
             small = counts <= PAIRED_BUCKET
-            own = np.repeat(small, counts)
-            i, j = _pairs_within(counts[small])
-            n, f, m, g = node[own], fp[own], size[own], group[own]
-            near = near_enough(f[i], f[j], m[i], m[j], similarity) & (g[i] != g[j])
-            parts = [np.stack([n[i[near]], n[j[near]]], 1)]
-            parts += [led(node[s:e], fp[s:e], size[s:e], group[s:e], similarity) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
+            own = np.nonzero(np.repeat(small, counts))[0]
+            i, j = (own[x] for x in _pairs_within(counts[small]))
+            near = near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), similarity) & (group[i] != group[j])
+            parts = [np.stack([node[i[near]], node[j[near]]], 1)]
+            parts += [led(node[s:e], group[s:e], tuple(m[s:e] for m in marks), similarity) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
             pairs = np.concatenate(parts)
             pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs.astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -323,13 +343,13 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>, n int"), "sketches")
-    classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys", "n"), "id").alias("x"))
+    sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>, n int, x long, y long"), "sketches")
+    classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys", "n", "x", "y"), "id").alias("x"))
     classes = written(classes.select("same", "x.*").withColumnRenamed("id", "node"), "classes")
 
     def pairs_of(nodes: DataFrame) -> DataFrame:
         """(a, b): pairs to verify among classes (node, fp, n, keys, grouped) of different groups."""
-        keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", "n", "grouped")
+        keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", "n", "grouped", "x", "y")
         return keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(found, "a long, b long")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
