@@ -262,16 +262,15 @@ def near_enough(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], simi
     return near & (different <= 1 + chance * filled + 2.5 * np.sqrt(chance * (1 - chance) * filled))
 
 
-def led(nodes: np.ndarray, groups: np.ndarray, marks: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
-    """Pairs of a large bucket (in the order of its nodes) to verify: the least node leads and is paired with all of other groups
-    that are near enough; who is neither near nor of its group goes on with the next least node. So pairs grow with the
-    bucket, not with its square."""
+def led(nodes: np.ndarray, marks: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
+    """Pairs of a large bucket (in the order of its nodes) to verify: the least node leads and is paired with all that are near
+    enough; the others go on with their least node. So pairs grow with the bucket, not with its square."""
     pairs = []
     while len(nodes) > 1:
-        near, own = near_enough(tuple(m[1:] for m in marks), tuple(m[:1] for m in marks), similarity), groups[1:] == groups[0]
-        found = nodes[1:][near & ~own]
+        near = near_enough(tuple(m[1:] for m in marks), tuple(m[:1] for m in marks), similarity)
+        found = nodes[1:][near]
         pairs.append(np.stack([found, np.full(len(found), nodes[0])], 1))
-        nodes, groups, *marks = (x[1:][~near & ~own] for x in (nodes, groups, *marks))
+        nodes, *marks = (x[1:][~near] for x in (nodes, *marks))
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
 
 
@@ -282,8 +281,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (their smallest id), found by a grouped minimum first, so a group of copies of any size costs one row. Null and empty texts
     and texts of white space have no shingle and are one class. Candidates come by doubtful_keys, are sifted by near_enough and verified by
     all their shingles (32 bits of each one's hash). Of two classes that differ in many bits the keys may miss a link (README has the recall); no pair below
-    the similarity is linked. In large buckets a class is verified against its leader only;
-    a pair that other links join already is not verified. Rows with null ids are linked to
+    the similarity is linked. In large buckets a class is verified against its leader only. Rows with null ids are linked to
     nothing; repeated rows are kept as they are; an empty table gives an empty result. Other columns of docs are not read.
     """
 
@@ -307,7 +305,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys, pa.array(sizes, pa.int32()), *[pa.array(bits[:, k].copy().view(np.int64)) for k in (0, 1)]], ["id", "same", "fp", "keys", "n", "x", "y"])
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, got = None, [np.zeros((0, 2), np.int64)]
+
+        def once() -> np.ndarray:
+            pairs = np.concatenate(got)
+            return np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs
+
         for batch in chain(batches, [None]):
             if batch is not None:
                 part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -316,7 +319,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 continue
             # the last bucket may go on in the next batch
             upto = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-            key, node, fp, size, group, x, y = (x[:upto] for x in held)
+            key, node, fp, size, x, y = (x[:upto] for x in held)
             held = [x[upto:] for x in held]
             starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
             counts = np.diff(starts)
@@ -324,12 +327,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             small = counts <= PAIRED_BUCKET
             own = np.nonzero(np.repeat(small, counts))[0]
             i, j = (own[x] for x in _pairs_within(counts[small]))
-            near = near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), similarity) & (group[i] != group[j])
+            near = near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), similarity)
             parts = [np.stack([node[i[near]], node[j[near]]], 1)]
-            parts += [led(node[s:e], group[s:e], tuple(m[s:e] for m in marks), similarity) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
-            pairs = np.concatenate(parts)
-            pairs = np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            parts += [led(node[s:e], tuple(m[s:e] for m in marks), similarity) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
+            got += parts
+            if sum(map(len, got)) > 1_000_000:
+                got = [once()]
+            if len(got[0]) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(got[0][:, 0]), pa.array(got[0][:, 1])], ["a", "b"])
+                got = [np.zeros((0, 2), np.int64)]
+        pairs = once()
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
@@ -346,34 +354,23 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>, n int, x long, y long"), "sketches")
     classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys", "n", "x", "y"), "id").alias("x"))
     classes = written(classes.select("same", "x.*").withColumnRenamed("id", "node"), "classes")
-
-    def pairs_of(nodes: DataFrame) -> DataFrame:
-        """(a, b): pairs to verify among classes (node, fp, n, keys, grouped) of different groups."""
-        keyed = nodes.select(F.explode("keys").alias("key"), "node", "fp", "n", "grouped", "x", "y")
-        return keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(found, "a long, b long")
+    keyed = classes.select(F.explode("keys").alias("key"), "node", "fp", "n", "x", "y")
+    pairs = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(found, "a long, b long").distinct())
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             ids, own = id_and_bytes(batch)
             yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in own], pa.binary())], ["id", "shingles"])
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        """The pairs whose shingles are similar."""
-        # the shingles of the texts that are in a pair, once for each class
-        needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = rows.join(needed, "id").groupBy("id").agg(F.max("text").alias("text"))
-        sets = written(texts.select("id", "text").mapInArrow(listed, "id long, shingles binary"), "shingles", "none")
-        # a class that very many others are paired with has its shingles once for each SALTED of them
-        salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
-        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(salts, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        return left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
-
-    # each class is verified with its least partner first; then only pairs whose groups still differ are
-    first = cut(links_of(cut(pairs_of(classes.withColumn("grouped", F.col("node"))).groupBy("a").agg(F.min("b").alias("b")))))
-    grouped = classes.join(connected_components(first), "node", "left").withColumn("grouped", F.coalesce("component", "node")).drop("component")
-    rest = links_of(cut(pairs_of(grouped).distinct()))
-    links = first.unionByName(rest)
+    # the shingles of the texts that are in a pair, once for each class
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = rows.join(needed, "id").groupBy("id").agg(F.max("text").alias("text"))
+    sets = written(texts.select("id", "text").mapInArrow(listed, "id long, shingles binary"), "shingles", "none")
+    # a class that very many others are paired with has its shingles once for each SALTED of them
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(salts, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    links = left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
     groups = connected_components(links)
     component = classes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return sketches.select("id", "same").join(component, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
