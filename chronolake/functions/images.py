@@ -49,13 +49,23 @@ def is_unchanged_marker(image: Column, name: str, marker: str = UNCHANGED) -> Co
     return F.coalesce(F.try_variant_get(F.try_parse_json(image), f"$.{checked(name)}.{checked(marker)}", "boolean"), F.lit(False))
 
 
+def canonical(image: Column) -> Column:
+    """An image as text whose fields are in the order of their names; a null image is an empty one, no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(image)), image, F.lit("{}"))
+
+
 def has_marker(image: Column, marker: str = UNCHANGED) -> Column:
-    """Whether any value of the image was not sent; such an image can't be applied as a whole row."""
-    return F.coalesce(F.contains(image, F.lit(f'"{marker}"')), F.lit(False))
+    """Whether any value of the image was not sent; such an image can't be applied as a whole row.
+
+    The marker is the key of an object that is a field's value; text that only contains it is no marker.
+    """
+    fields = F.map_values(F.from_json(image, "map<string,variant>"))
+    return F.coalesce(F.exists(fields, lambda v: F.coalesce(F.try_variant_get(v, f"$.{checked(marker)}", "boolean"), F.lit(False))), F.lit(False))
 
 
 def redacted(image: Column, columns: list[str]) -> Column:
-    """The image with these fields set to null."""
-    fields = F.from_json(image, "map<string,string>")
+    """The image with these fields set to null; the others keep their kind and every digit."""
+    fields = F.from_json(image, "map<string,variant>")
     hidden = F.array(*[F.lit(checked(c)) for c in columns])
-    return F.to_json(F.transform_values(fields, lambda k, v: F.when(~F.array_contains(hidden, k), v)), {"ignoreNullFields": "false"})
+    shown = F.transform_values(fields, lambda k, v: F.when(~F.array_contains(hidden, k), v))
+    return F.to_json(shown, {"ignoreNullFields": "false"})

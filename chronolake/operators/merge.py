@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronolake.functions import images
 from chronolake.functions.keys import grouping_key
 from chronolake.operators.ordering import order_proof, position
 
@@ -29,13 +30,16 @@ def dedup(sources: list[DataFrame]) -> DataFrame:
 
 
 def divergence(sources: list[DataFrame], content: list[str]) -> DataFrame:
-    """(event_id, copies, diverges): events that several sources have, and whether their content disagrees."""
+    """(event_id, copies, diverges): events that several sources have, and whether their content disagrees.
+
+    Images are compared as what they say: the order of their fields doesn't matter, and a null image is an empty one.
+    """
     both = ranked(sources)
 
     def differs(c: str) -> Column:
         if c in OPTIONAL:
             return F.min(c) != F.max(c)
-        shown = F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+        shown = images.canonical(F.col(c)) if c in ("row_before", "row_after") else F.coalesce(F.col(c).cast("string"), F.lit("\0"))
         return F.min(shown) != F.max(shown)
 
     any_differs = reduce(lambda a, b: a | b, [F.coalesce(differs(c), F.lit(False)) for c in content])

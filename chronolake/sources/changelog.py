@@ -40,14 +40,13 @@ def id_range(changes: DataFrame, above: int, upto: int, page: int | None = None,
 
 
 def snapshot_changes(baseline: DataFrame, keys: list[str], schema_name: str, table_name: str) -> DataFrame:
-    """A baseline's rows as changes of kind SNAPSHOT. Their ids are 2^62 and the row's number in the order of all columns,
-    which is a hash of the row here when numbers would need one global sort: equal rows get equal ids."""
+    """A baseline's rows as changes of kind SNAPSHOT. Their ids are 2^62 and a number that no other row of the baseline has, equal
+    rows included; numbers go by the rows' places in the baseline's files and have gaps."""
     from chronolake.functions.keys import join
 
     columns = sorted(baseline.columns)
-    number = F.pmod(F.xxhash64(*columns), F.lit(SNAPSHOT_ID))
     return baseline.select(
-        (F.lit(SNAPSHOT_ID) + number).alias("event_id"),
+        (F.lit(SNAPSHOT_ID) + F.monotonically_increasing_id()).alias("event_id"),
         F.lit(schema_name).alias("schema_name"),
         F.lit(table_name).alias("table_name"),
         F.lit(6).alias("event_type"),

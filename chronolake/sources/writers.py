@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,8 +63,24 @@ def verified_baseline(spark: SparkSession, path: str) -> DataFrame:
     return table
 
 
+def _crc32c_table() -> list[int]:
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0x82F63B78 if n & 1 else 0)  # the reversed Castagnoli polynomial
+        table.append(n)
+    return table
+
+
+_CRC32C = _crc32c_table()
+
+
 def checksum(data: bytes) -> int:
-    return zlib.crc32(data)
+    """CRC-32C of a file's bytes."""
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc = _CRC32C[(crc ^ byte) & 0xFF] ^ (crc >> 8)
+    return crc ^ 0xFFFFFFFF
 
 
 def export(target: DataFrame | None, changes: DataFrame, keys: str = "pk_values") -> DataFrame:
