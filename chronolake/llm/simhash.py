@@ -16,6 +16,7 @@ are verified by the similarity of their shingles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, combinations
@@ -208,25 +209,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 DOUBTFUL = 3
 #: Candidates differ in at most so many of 64 bits; texts whose shingles agree to 0.8 rarely differ in more.
 CANDIDATE_BITS = 16
-#: Candidates in one bucket that are compared with each other at once; larger buckets go by leaders.
+#: Candidates in one bucket that are compared with each other at once; larger buckets are first worked on in blocks of so many.
 PAIRED_BUCKET = 64
-#: Texts verified against one copy of a leader's shingles.
-SALTED = 1_000
+#: Each class's nearest candidates that are verified first.
+PARTNERS = 4
+#: Pairs verified at once.
+CELL_PAIRS = 20_000
 LATER = "__later_id_of_a_near_copy__"
 
 
-def doubtful_keys(fps: np.ndarray, doubt: np.ndarray, doubtful: int = DOUBTFUL) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): two segments' codeword indices at a time. doubt holds for each row the 64 bits' distances from a tie."""
+def doubtful_words(fps: np.ndarray, doubt: np.ndarray, doubtful: int = DOUBTFUL) -> np.ndarray:
+    """[row, segment, choice]: the codeword indices of each segment. doubt holds for each row the 64 bits' distances from a tie."""
     index, found = golay_index(), []
     for at, width in SEGMENTS:
         value = ((fps >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64)[:, None]
         flips = np.int64(1) << np.argsort(doubt[:, at : at + width], axis=1, kind="stable")[:, :doubtful]
         for k in range(flips.shape[1]):
             value = np.concatenate([value, value ^ flips[:, k : k + 1]], axis=1)
-        found.append(index[value].astype(np.int64))
+        found.append(index[value].astype(np.int16))
+    return np.stack(found, axis=1)
+
+
+def doubtful_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the codeword indices of two segments at a time."""
     rows, keys = [], []
     for i in range(3):
-        a, b = found[i], found[(i + 1) % 3]
+        a, b = (words[:, k % 3].astype(np.int64) for k in (i, i + 1))
         both = ((a[:, :, None] << 12) | b[:, None, :]).reshape(len(a), -1)
         both.sort(axis=1)
         fresh = np.ones(both.shape, bool)
@@ -237,17 +245,39 @@ def doubtful_keys(fps: np.ndarray, doubt: np.ndarray, doubtful: int = DOUBTFUL)
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def least_key(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The least key that both rows of codeword indices have (doubtful_words), where they have any."""
+    none, least = 1 << 13, []
+    for k in range(3):
+        x = one[:, k].astype(np.int64)
+        least.append(np.where((x[:, :, None] == other[:, k].astype(np.int64)[:, None, :]).any(2), x, none).min(1))
+    out = np.full(len(one), -1)
+    for k in (2, 1, 0):
+        a, b = least[k], least[(k + 1) % 3]
+        out = np.where((a < none) & (b < none), (k << 24) | (a << 12) | b, out)
+    return out
+
+
 #: The hashes' top bits deal a text's shingles to so many bins; a sketch has one bit of each bin's least hash.
 BINS = 128
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Two 64-bit words: of each bin the lowest bit of its least hash, 0 for an empty bin. hashes are sorted."""
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(two 64-bit words, 64 bytes): of each bin the lowest bit of its least hash and its lowest four, 0 for an empty bin.
+    hashes are sorted."""
     padded = np.append(hashes, np.uint64(0))
     at = np.searchsorted(hashes, _EDGES)
-    there = np.append(at[1:], len(hashes)) > at
-    return np.packbits((padded[at] & np.uint64(1)).astype(bool) & there, bitorder="little").view(np.uint64)
+    least = np.where(np.append(at[1:], len(hashes)) > at, padded[at] & np.uint64(15), np.uint64(0)).astype(np.uint8)
+    return np.packbits(least & 1, bitorder="little").view(np.uint64), least[::2] << 4 | least[1::2]
+
+
+def still_near(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows of four bits a bin differ in no more bins than similar texts do, by two and a half deviations."""
+    different = one ^ other
+    different = ((different & 15) > 0).sum(1) + ((different >> 4) > 0).sum(1)
+    filled, chance = BINS * (1 - np.exp(-sizes / BINS)), (1 - similarity) * 15 / 16
+    return different <= 1 + chance * filled + 2.5 * np.sqrt(chance * (1 - chance) * filled)
 
 
 def near_enough(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
@@ -262,16 +292,70 @@ def near_enough(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], simi
     return near & (different <= 1 + chance * filled + 2.5 * np.sqrt(chance * (1 - chance) * filled))
 
 
-def led(nodes: np.ndarray, marks: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
-    """Pairs of a large bucket (in the order of its nodes) to verify: the least node leads and is paired with all that are near
-    enough; the others go on with their least node. So pairs grow with the bucket, not with its square."""
-    pairs = []
-    while len(nodes) > 1:
-        near = near_enough(tuple(m[1:] for m in marks), tuple(m[:1] for m in marks), similarity)
-        found = nodes[1:][near]
-        pairs.append(np.stack([found, np.full(len(found), nodes[0])], 1))
-        nodes, *marks = (x[1:][~near] for x in (nodes, *marks))
-    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+def sketch_bits(one: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> np.ndarray:
+    """In how many bits the sketches of (fp, number of shingles, two words of the sketch) differ."""
+    return np.bitwise_count(one[2] ^ other[2]).astype(np.int64) + np.bitwise_count(one[3] ^ other[3])
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of some whole buckets at a time; rows come sorted by the first column, the key."""
+    held = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        # the last bucket may go on in the next batch
+        upto = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
+        if upto:
+            yield [x[:upto] for x in held]
+            held = [x[upto:] for x in held]
+
+
+def bucket_sizes(key: np.ndarray) -> np.ndarray:
+    return np.diff(np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]]))
+
+
+def partners(key: np.ndarray, node: np.ndarray, group: np.ndarray, marks: tuple[np.ndarray, ...], similarity: float) -> np.ndarray:
+    """(node, bits, other): near partners of other groups; each node of a small bucket that has one there is in the result.
+
+    Large buckets are dealt by hash into blocks of PAIRED_BUCKET, so the work grows with the bucket, not with its square; each of
+    their nodes is also there with itself, as it may have partners in other blocks.
+    """
+    counts = bucket_sizes(key)
+    starts = np.repeat(np.cumsum(counts) - counts, counts)
+    large = np.repeat(counts > PAIRED_BUCKET, counts)
+    mix = (node ^ (key << 20)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((mix, key))
+    block = starts + (np.arange(len(key)) - starts) // PAIRED_BUCKET * PAIRED_BUCKET
+    i, j = (order[x] for x in _pairs_within(bucket_sizes(block)))
+    differ = group[i] != group[j]
+    i, j = i[differ], j[differ]
+    near = near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), similarity)
+    i, j = i[near], j[near]
+    bits, own = sketch_bits(tuple(m[i] for m in marks), tuple(m[j] for m in marks)), node[large]
+    return np.concatenate([np.stack([node[i], bits, node[j]], 1), np.stack([node[j], bits, node[i]], 1), np.stack([own, np.full(len(own), 1 << 20), own], 1)])
+
+
+def first_of_each(rows: np.ndarray) -> np.ndarray:
+    """Of each first column's rows the least."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])] if len(rows) else rows
+
+
+def pairs_across(node: np.ndarray, group: np.ndarray, marks: tuple[np.ndarray, ...], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of all near pairs of different groups in one large bucket. The greatest group's nodes aren't compared with each
+    other, so the work goes by the nodes outside it."""
+    _, kind, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    order = np.lexsort((node, kind == sizes.argmax()))  # the greatest group last
+    kind, marks = kind[order], tuple(m[order] for m in marks)
+    outside, rows = len(node) - int(sizes.max()), max(1, (1 << 18) // len(node))
+    for at in range(0, outside, rows):
+        upto = min(outside, at + rows)
+        one, other = tuple(m[at:upto, None] for m in marks), tuple(m[None, at:] for m in marks)
+        i, j = np.nonzero(near_enough(one, other, similarity) & (kind[at:upto, None] != kind[None, at:]) & (np.arange(upto - at)[:, None] < np.arange(len(node) - at)))
+        yield order[at + i], order[at + j]
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -280,8 +364,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are lower-cased (A-Z); a text of fewer words has one shingle, all of them. Texts with the same shingles are one class
     (their smallest id), found by a grouped minimum first, so a group of copies of any size costs one row. Null and empty texts
     and texts of white space have no shingle and are one class. Candidates come by doubtful_keys, are sifted by near_enough and verified by
-    all their shingles (32 bits of each one's hash). Of two classes that differ in many bits the keys may miss a link (README has the recall); no pair below
-    the similarity is linked. In large buckets a class is verified against its leader only. Rows with null ids are linked to
+    all their shingles (32 bits of each one's hash): first each class with its nearest ones, then all that are in different groups
+    after that, so a large group doesn't cost the square of its size. Of two classes that differ in many bits the keys may miss a link (README has the recall); no pair below
+    the similarity is linked. Rows with null ids are linked to
     nothing; repeated rows are kept as they are; an empty table gives an empty result. Other columns of docs are not read.
     """
 
@@ -289,6 +374,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in slices(batches, 1000):
             ids, texts = id_and_bytes(batch)
             same, sizes, fps, bits = [], [], np.zeros(len(texts), np.uint64), np.zeros((len(texts), 2), np.uint64)
+            least = np.zeros((len(texts), BINS // 2), np.uint8)
             doubt = np.zeros((len(texts), 64), np.float32)
             for n, t in enumerate(texts):
                 hashes = shingle_hashes(t, shingle)
@@ -296,81 +382,118 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 fps[n], doubt[n] = majority(ones, len(hashes)), np.abs(ones * 2 - len(hashes)) / max(1, len(hashes))
                 kinds = np.unique(hashes)
                 sizes.append(len(kinds))
-                bits[n] = sketch(kinds)
+                bits[n], least[n] = sketch(kinds)
                 same.append(xxhash.xxh3_128_digest(kinds.tobytes()))
-            row, key = doubtful_keys(fps, doubt)
+            words = doubtful_words(fps, doubt)
+            row, key = doubtful_keys(words)
             order = np.argsort(row, kind="stable")
             counts = np.bincount(row, minlength=len(texts))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys, pa.array(sizes, pa.int32()), *[pa.array(bits[:, k].copy().view(np.int64)) for k in (0, 1)]], ["id", "same", "fp", "keys", "n", "x", "y"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys, pa.array(sizes, pa.int32()), *[pa.array(bits[:, k].copy().view(np.int64)) for k in (0, 1)], *[pa.array(list(map(bytes, m)), pa.binary()) for m in (least, words)]], ["id", "same", "fp", "keys", "n", "x", "y", "bins", "words"])
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, got = None, [np.zeros((0, 2), np.int64)]
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.zeros((0, 3), np.int64)]
 
-        def once() -> np.ndarray:
-            pairs = np.concatenate(got)
-            return np.unique(np.stack([pairs.max(1), pairs.min(1)], 1), axis=0) if len(pairs) else pairs
+        def sent() -> pa.RecordBatch:
+            rows = first_of_each(np.concatenate(got))
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], ["node", "bits", "other"])
 
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                part = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                held = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
-            if held is None or not len(held[0]):
-                continue
-            # the last bucket may go on in the next batch
-            upto = len(held[0]) if batch is None else int(np.searchsorted(held[0], held[0][-1]))
-            key, node, fp, size, x, y = (x[:upto] for x in held)
-            held = [x[upto:] for x in held]
-            starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
-            counts = np.diff(starts)
-            marks = (fp.view(np.uint64), size.astype(np.float64), x.view(np.uint64), y.view(np.uint64))
-            small = counts <= PAIRED_BUCKET
-            own = np.nonzero(np.repeat(small, counts))[0]
-            i, j = (own[x] for x in _pairs_within(counts[small]))
-            near = near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), similarity)
-            parts = [np.stack([node[i[near]], node[j[near]]], 1)]
-            parts += [led(node[s:e], tuple(m[s:e] for m in marks), similarity) for s, e in zip(starts[:-1][~small].tolist(), starts[1:][~small].tolist(), strict=True)]
-            got += parts
+        for key, node, fp, size, x, y, group in whole_buckets(batches):
+            got.append(partners(key, node, group, (fp.view(np.uint64), size.astype(np.float64), x.view(np.uint64), y.view(np.uint64)), similarity))
             if sum(map(len, got)) > 1_000_000:
-                got = [once()]
+                got = [first_of_each(np.concatenate(got))]
             if len(got[0]) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(got[0][:, 0]), pa.array(got[0][:, 1])], ["a", "b"])
-                got = [np.zeros((0, 2), np.int64)]
-        pairs = once()
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                yield sent()
+                got = [np.zeros((0, 3), np.int64)]
+        yield sent()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, node, fp, size, x, y, group, bins, words in whole_buckets(batches):
+            marks, counts = (fp.view(np.uint64), size.astype(np.float64), x.view(np.uint64), y.view(np.uint64)), bucket_sizes(key)
+            small, starts = counts <= PAIRED_BUCKET, np.cumsum(counts) - counts
+
+            def sent(i: np.ndarray, j: np.ndarray, key=key, node=node, size=size, bins=bins, words=words) -> pa.RecordBatch:
+                rows = lambda c, at, kind, width: np.frombuffer(b"".join(c[at]), kind).reshape(len(at), width)
+                near = still_near(rows(bins, i, np.uint8, BINS // 2), rows(bins, j, np.uint8, BINS // 2), np.maximum(size[i], size[j]), similarity)
+                i, j = i[near], j[near]
+                # of all buckets that have both, the one of the least key tells
+                one, other = (rows(words, at, np.int16, 3 << DOUBTFUL).reshape(len(at), 3, 1 << DOUBTFUL) for at in (i, j))
+                here = least_key(one, other) == key[i]
+                a, b = node[i[here]], node[j[here]]
+                return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            own = np.nonzero(np.repeat(small, counts))[0]
+            i, j = (own[p] for p in _pairs_within(counts[small]))
+            differ = group[i] != group[j]
+            i, j = i[differ], j[differ]
+            near = near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), similarity)
+            yield sent(i[near], j[near])
+            for s, n in zip(starts[~small].tolist(), counts[~small].tolist(), strict=True):
+                own = slice(s, s + n)
+                for i, j in pairs_across(node[own], group[own], tuple(m[own] for m in marks), similarity):
+                    yield sent(s + i, s + j)
+
+    def verified(pairs: pa.Table, there: pa.Table) -> pa.Table:
+        ids, sets = there.column("id").to_numpy(), there.column("shingles").to_pylist()
+        place = {n: np.frombuffer(x, np.uint32) for n, x in zip(ids.tolist(), sets, strict=True)}
+        ok = np.zeros(pairs.num_rows, bool)
+        for k, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            x, y = place[a], place[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            ok[k] = both >= similarity * (len(x) + len(y) - both)
+        return pairs.select(["a", "b"]).filter(pa.array(ok))
 
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>, n int, x long, y long"), "sketches")
-    classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys", "n", "x", "y"), "id").alias("x"))
+    sketches = written(rows.select("id", "text").mapInArrow(sketched, "id long, same binary, fp long, keys array<int>, n int, x long, y long, bins binary, words binary"), "sketches")
+    classes = sketches.where("id is not null").groupBy("same").agg(F.min_by(F.struct("id", "fp", "keys", "n", "x", "y", "bins", "words"), "id").alias("x"))
     classes = written(classes.select("same", "x.*").withColumnRenamed("id", "node"), "classes")
-    keyed = classes.select(F.explode("keys").alias("key"), "node", "fp", "n", "x", "y")
-    pairs = cut(keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(found, "a long, b long").distinct())
-
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
             ids, own = id_and_bytes(batch)
             yield pa.RecordBatch.from_arrays([ids, pa.array([np.unique(shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in own], pa.binary())], ["id", "shingles"])
 
-    # the shingles of the texts that are in a pair, once for each class
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = rows.join(needed, "id").groupBy("id").agg(F.max("text").alias("text"))
+    def dealt(keyed: DataFrame) -> DataFrame:
+        return keyed.repartition(parts, "key").sortWithinPartitions("key", "node")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those pairs whose shingles are similar. Pairs are dealt to cells by the hashes of both ends; a class's shingles go once to
+        each cell that has it, at most 2 * side of them, whatever the number of its pairs."""
+        side = max(8, math.isqrt(pairs.count() // CELL_PAIRS) + 1)
+        at = [F.pmod(F.xxhash64(F.col(c)), F.lit(side)) for c in ("a", "b")]
+        placed = pairs.withColumn("cell", at[0] * side + at[1])
+        needed = placed.select(F.col("cell").alias("of"), F.col("a").alias("id")).unionByName(placed.select(F.col("cell").alias("of"), F.col("b").alias("id"))).distinct()
+        return placed.groupBy("cell").cogroup(needed.join(sets, "id").groupBy("of")).applyInArrow(verified, "a long, b long")
+
+    def nearest_of(grouped: DataFrame) -> DataFrame:
+        best = dealt(grouped).mapInArrow(nearest, "node long, bits long, other long")
+        return cut(best.groupBy("node").agg(F.slice(F.array_sort(F.collect_set(F.struct("bits", "other"))), 1, PARTNERS).alias("near")))
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        chosen = met.select("node", F.explode("near.other").alias("other")).where("node <> other")
+        return cut(chosen.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct())
+
+    def keyed(some: DataFrame, *more: str) -> DataFrame:
+        return some.select(F.explode("keys").alias("key"), "node", "fp", "n", "x", "y", "group", *more)
+
+    met = nearest_of(keyed(classes.withColumn("group", F.col("node"))))
+    # the shingles of the texts that may have a partner, once for each class
+    texts = rows.join(met.select(F.col("node").alias("id")), "id").groupBy("id").agg(F.max("text").alias("text"))
     sets = written(texts.select("id", "text").mapInArrow(listed, "id long, shingles binary"), "shingles", "none")
-    # a class that very many others are paired with has its shingles once for each SALTED of them
-    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), "salts").cast("int")).drop("salts")
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")).join(salts, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    links = left.join(right, ["b", "salt"]).select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    candidates = cut(classes.join(met.select("node"), "node"))
+    links = linked(pairs_of(met))
+    for last in (False, True):
+        # then the nearest of other groups, then every near pair of which the groups don't say already that it is linked
+        groups = cut(connected_components(links))
+        grouped = candidates.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
+        if last:
+            grouped = grouped.join(met.select("node"), "node")
+            pairs = cut(dealt(keyed(grouped, "bins", "words")).mapInArrow(across, "a long, b long"))
+        else:
+            met = nearest_of(keyed(grouped))
+            pairs = pairs_of(met)
+        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked(pairs))
     groups = connected_components(links)
     component = classes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return sketches.select("id", "same").join(component, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
