@@ -262,6 +262,37 @@ def test_packing_scores_with_all_terms():
         assert 1 in got and 3 not in got and got == want
 
 
+def test_least_key_is_that_of_all_shared_keys():
+    """Of all buckets that two texts share, exactly one tells of the pair."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 12, (40, 3, 4)).astype(np.int16)
+    rows, keys = simhash.doubtful_keys(words)
+    own = [set(keys[rows == n].tolist()) for n in range(40)]
+    i, j = np.triu_indices(40, 1)
+    want = [min(own[a] & own[b], default=-1) for a, b in zip(i, j, strict=True)]
+    assert simhash.least_key(words[i], words[j]).tolist() == want and -1 in want
+
+
+@pytest.mark.parametrize("groups", [1, 3, 200])
+def test_pairs_across_groups_of_a_large_bucket(groups):
+    rng = np.random.default_rng(groups)
+    n = 300
+    node, group = rng.permutation(n).astype(np.int64), rng.integers(0, groups, n)
+    fps = rng.integers(0, 1 << 20, n).astype(np.uint64)
+    words = rng.integers(0, 1 << 10, (2, n)).astype(np.uint64)
+    marks = (fps, rng.integers(80, 120, n).astype(np.float64), words[0], words[1])
+    i, j = np.triu_indices(n, 1)
+    near = simhash.near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), 0.8) & (group[i] != group[j])
+    want = {frozenset(x) for x in zip(i[near].tolist(), j[near].tolist(), strict=True)}
+    got = [frozenset(x) for a, b in simhash.pairs_across(node, group, marks, 0.8) for x in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and (groups == 1 or want)
+    found = simhash.partners(np.zeros(n, np.int64), node, group, marks, 0.8)
+    place = {int(v): k for k, v in enumerate(node)}
+    linked = found[found[:, 0] != found[:, 2]]
+    assert set(found[found[:, 0] == found[:, 2], 0].tolist()) == set(range(n))  # all of a large bucket are looked at again
+    assert all(frozenset((place[a], place[b])) in want for a, _, b in linked.tolist())
+
+
 @pytest.mark.parametrize("paired", [64, 3])
 def test_similar_texts(spark, empty, monkeypatch, paired):
     """Groups by five-word shingles against brute force: nothing joined that isn't similar, next to nothing lost."""
