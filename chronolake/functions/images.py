@@ -49,9 +49,9 @@ def is_unchanged_marker(image: Column, name: str, marker: str = UNCHANGED) -> Co
     return F.coalesce(F.try_variant_get(F.try_parse_json(image), f"$.{checked(name)}.{checked(marker)}", "boolean"), F.lit(False))
 
 
-def canonical(image: Column) -> Column:
-    """An image as text whose fields are in the order of their names; a null image is an empty one, no JSON stays as it is."""
-    return F.coalesce(F.to_json(F.try_parse_json(image)), image, F.lit("{}"))
+def canonical(image: Column, absent: str = "{}") -> Column:
+    """An image as text whose fields are in the order of their names; a null image is an empty one or absent, no JSON stays as it is."""
+    return F.coalesce(F.to_json(F.try_parse_json(image)), image, F.lit(absent))
 
 
 def has_marker(image: Column, marker: str = UNCHANGED) -> Column:

@@ -29,17 +29,18 @@ def dedup(sources: list[DataFrame]) -> DataFrame:
     return best.select("event_id", *[F.col(f"row.{c}").alias(c) for c in columns]).select([c for c in both.columns if c != "source_rank"])
 
 
-def divergence(sources: list[DataFrame], content: list[str]) -> DataFrame:
+def divergence(sources: list[DataFrame], content: list[str], null_is_empty: bool = True) -> DataFrame:
     """(event_id, copies, diverges): events that several sources have, and whether their content disagrees.
 
-    Images are compared as what they say: the order of their fields doesn't matter, and a null image is an empty one.
+    Images are compared as what they say: the order of their fields doesn't matter, and a null image is an empty one. Without
+    null_is_empty a null image disagrees with one that has no fields; then it is an empty text.
     """
     both = ranked(sources)
 
     def differs(c: str) -> Column:
         if c in OPTIONAL:
             return F.min(c) != F.max(c)
-        shown = images.canonical(F.col(c)) if c in ("row_before", "row_after") else F.coalesce(F.col(c).cast("string"), F.lit("\0"))
+        shown = images.canonical(F.col(c), "{}" if null_is_empty else "") if c in ("row_before", "row_after") else F.coalesce(F.col(c).cast("string"), F.lit("\0"))
         return F.min(shown) != F.max(shown)
 
     any_differs = reduce(lambda a, b: a | b, [F.coalesce(differs(c), F.lit(False)) for c in content])

@@ -174,7 +174,8 @@ def merge_dedup(spark, sf_dir):
 
 @query(f"""+{HALVES} select l.event_id, cast(2 as bigint) as copies, coalesce(l.row_after, '') <> coalesce(o.row_after, '') as diverges from live l join old o on l.event_id = o.event_id""")
 def merge_divergence(spark, sf_dir):
-    return merge.divergence(halves(spark, sf_dir), ["event_timestamp", "pk_values", "event_type", "row_after", "gtid"])
+    # a deleted row's image is null; its SQL tells that from an image without fields
+    return merge.divergence(halves(spark, sf_dir), ["event_timestamp", "pk_values", "event_type", "row_after", "gtid"], null_is_empty=False)
 
 
 @query("select event_id, event_timestamp, pk_values, event_type from (select *, row_number() over (partition by pk_values order by event_timestamp desc, event_id desc) as k from log) where k <= 3")

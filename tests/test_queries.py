@@ -38,6 +38,19 @@ def test_query(spark, con, name):
     assert rows(got.toPandas()) == rows(want)
 
 
+def test_divergence_of_a_deleted_row(spark, con, tmp_path):
+    """A null image in one half and one without fields in the other: event 97 of the log is a delete in both halves."""
+    events = con.sql("select * from events order by event_id limit 200").df()
+    events.loc[96, ["event_type", "ts"]] = "error", pd.Timestamp("2024-01-16 08:00:00")
+    events["ts"] = events["ts"].astype("datetime64[us]")
+    events.to_parquet(f"{tmp_path}/events.parquet")
+    with duckdb.connect() as own:
+        own.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+        want = own.sql(ORACLES["merge_divergence"]).df()
+    got = QUERIES["merge_divergence"](spark, str(tmp_path)).toPandas()
+    assert want[want.diverges].event_id.tolist().count(97) == 1 and rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, HOME).count() >= 0
