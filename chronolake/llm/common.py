@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 import gc
 import tempfile
@@ -31,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system: Spark keeps it for later tasks, beside others that need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def uncollected(f: Callable) -> Callable:
     """f with the cycle collector off: it makes many small objects and no cycles, and collections would walk them all.
 
@@ -96,14 +105,36 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(at, rows)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, components): the smallest node reachable from each node of the edges a[k], b[k]."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        p, q = root[x], root[y]
+        np.minimum.at(root, p, q)
+        np.minimum.at(root, q, p)
+        while ((up := root[root]) != root).any():
+            root = up
+        open_ = root[x] != root[y]
+        x, y = x[open_], y[open_]
+    return nodes, nodes[root]
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, alone: int = 0) -> DataFrame:
     """The smallest node reachable from each node, by alternating large-star and small-star steps.
 
     edges has two long columns; direction, repeats and self-loops don't matter. Returns (node, component)
     for each node that has an edge to another one. Each step is a grouped minimum (combined before the
     shuffle) and an equi-join, so a hub's edges never meet in one task; the steps' results are cut with
-    checkpoint(). The number of rounds grows with the logarithm of the longest path.
+    checkpoint(). The number of rounds grows with the logarithm of the longest path. Up to alone different edges
+    go to one task instead, which holds them all: a step's many small tasks would cost far more than they do.
     """
+
+    def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.zeros((2, 0), np.int64)] + [np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) for batch in batches]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in components_of(*np.concatenate(ends, axis=1))], ["node", "component"])
+
     edges = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -120,6 +151,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     seen = mark(now)
+    if seen[0] <= alone:
+        return now.repartition(1).mapInArrow(joined_up, "node long, component long")
     if seen[0]:
         for _ in range(max_rounds):
             now = cut(step(step(now, True), False))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded_words, slices, strings, uncollected, written
+from .common import coded_words, give_back, slices, strings, uncollected, written
 
 WINDOW = 2048
 END_ID = 1
@@ -129,12 +129,14 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, doc_tokens, last, ids): each document's ids with end_id after them, as 16-bit integers in a binary. last
     is the greatest id after the document's whole windows, -1 if nothing is left there.
 
-    forget empties the executor's table of words after each task. Each task adds a row with doc_tokens -1 whose ids are its counts (64-bit): for each of size ids the documents that
+    forget empties the executor's table of words after each task and gives free memory back to the system. Each task adds a row with doc_tokens -1 whose ids are its counts (64-bit): for each of size ids the documents that
     have it, then all documents, then all ids.
     """
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if forget:  # what this process had for other stages
+            give_back()
         names, seen, there = ["doc_id", "doc_tokens", "last", "ids"], np.zeros(size + 2, np.int64), np.zeros((64, size), np.uint8)
         for batch in slices(batches, 4000):
             ids = pc.binary_join_element_wise(words_of(path, known_words).encode(strings(batch.column(1))), end, b"")
@@ -155,6 +157,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(lengths), pa.array(last, pa.int32()), ids], names)
         if forget:
             words_of(path, known_words).forget()
+            give_back()
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([-1], pa.int32()), pa.array([seen.tobytes()], pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, doc_tokens long, last int, ids binary")

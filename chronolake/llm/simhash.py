@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_and_bytes, slices, written
+from .common import connected_components, cut, give_back, id_and_bytes, slices, written
 
 # The generator polynomial of the binary Golay code [23, 12, 7], x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY_POLYNOMIAL = 0b110001110101
@@ -215,6 +215,10 @@ PAIRED_BUCKET = 64
 PARTNERS = 4
 #: Pairs verified at once.
 CELL_PAIRS = 20_000
+#: Candidates of the last round that are sifted at once.
+SIFTED = 1 << 14
+#: So many different links are joined up in one task (4 MB); more go by steps over the cluster.
+LINKS_ALONE = 1 << 18
 LATER = "__later_id_of_a_near_copy__"
 
 
@@ -390,6 +394,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             counts = np.bincount(row, minlength=len(texts))
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(key[order].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(same, pa.binary()), pa.array(fps.view(np.int64)), keys, pa.array(sizes, pa.int32()), *[pa.array(bits[:, k].copy().view(np.int64)) for k in (0, 1)], *[pa.array(list(map(bytes, m)), pa.binary()) for m in (least, words)]], ["id", "same", "fp", "keys", "n", "x", "y", "bins", "words"])
+        give_back()
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [np.zeros((0, 3), np.int64)]
@@ -422,16 +427,21 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 a, b = node[i[here]], node[j[here]]
                 return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
+            def parted(i: np.ndarray, j: np.ndarray, sent=sent) -> Iterator[pa.RecordBatch]:
+                for at in range(0, len(i), SIFTED):
+                    yield sent(i[at : at + SIFTED], j[at : at + SIFTED])
+
             own = np.nonzero(np.repeat(small, counts))[0]
             i, j = (own[p] for p in _pairs_within(counts[small]))
             differ = group[i] != group[j]
             i, j = i[differ], j[differ]
             near = near_enough(tuple(m[i] for m in marks), tuple(m[j] for m in marks), similarity)
-            yield sent(i[near], j[near])
+            yield from parted(i[near], j[near])
             for s, n in zip(starts[~small].tolist(), counts[~small].tolist(), strict=True):
                 own = slice(s, s + n)
                 for i, j in pairs_across(node[own], group[own], tuple(m[own] for m in marks), similarity):
-                    yield sent(s + i, s + j)
+                    yield from parted(s + i, s + j)
+        give_back()
 
     def verified(pairs: pa.Table, there: pa.Table) -> pa.Table:
         ids, sets = there.column("id").to_numpy(), there.column("shingles").to_pylist()
@@ -485,7 +495,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = linked(pairs_of(met))
     for last in (False, True):
         # then the nearest of other groups, then every near pair of which the groups don't say already that it is linked
-        groups = cut(connected_components(links))
+        groups = cut(connected_components(links, alone=LINKS_ALONE))
         grouped = candidates.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node"))
         if last:
             grouped = grouped.join(met.select("node"), "node")
@@ -494,7 +504,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             met = nearest_of(keyed(grouped))
             pairs = pairs_of(met)
         links = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked(pairs))
-    groups = connected_components(links)
+    groups = connected_components(links, alone=LINKS_ALONE)
     component = classes.join(groups, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
     return sketches.select("id", "same").join(component, "same", "left").select("id", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 

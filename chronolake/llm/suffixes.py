@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -337,7 +336,8 @@ def _nullable(column: pa.ChunkedArray) -> pa.Array:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
     """(id, text, kept, n_removed, n_spans, starts, ends, carried): text as bytes, and what is left of it when each byte covered by
     a string of length bytes that also starts in a document with a smaller id is removed; starts and ends of the
-    removed runs; carried is a struct of the columns named in carry, by their places there.
+    removed runs; carried is a struct of the columns named in carry, by their places there. Where carry is given and something
+    is removed, shown is kept without what is left of characters that are cut.
 
     Strings are judged on the input. Null texts are empty; texts shorter than length are kept whole. Rows with one id
     never remove from each other; a row with a null id is kept whole and removes nothing. Repeated rows each have their
@@ -536,7 +536,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ends.append(b)
             kept.append(b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True)))
         gone = [len(t) - len(k) for t, k in zip(texts, kept, strict=True)]
-        columns = (("id", ids, pa.int64()), ("text", texts, pa.binary()), ("kept", kept, pa.binary()), ("n_removed", gone, pa.int64()), ("n_spans", [len(a) for a in starts], pa.int64()), ("starts", starts, pa.list_(pa.int64())), ("ends", ends, pa.list_(pa.int64())))
+        shown = [k.decode("utf-8", "ignore") if n and carry is not None else None for k, n in zip(kept, gone, strict=True)]
+        columns = (("shown", shown, pa.string()), ("id", ids, pa.int64()), ("text", texts, pa.binary()), ("kept", kept, pa.binary()), ("n_removed", gone, pa.int64()), ("n_spans", [len(a) for a in starts], pa.int64()), ("starts", starts, pa.list_(pa.int64())), ("ends", ends, pa.list_(pa.int64())))
         return pa.table({k: pa.array(v, t) for k, v, t in columns} | {"carried": _nullable(mine.column("carried").take(pa.array(order_in, pa.int64())))})
 
     # partitions grow with the shards, so a task's share doesn't grow with the input
@@ -546,7 +547,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     block = "shard int, batch int, hashes binary, docs binary, rows binary, at binary, which binary, left binary, sizes binary, data binary, local binary"
     around = dealt.groupBy("batch").cogroup(flags.repartition(parts, "batch").groupBy("batch")).applyInArrow(lambda mine, flags: surroundings(mine, flags), block)
     spans = around.repartition(parts, "shard").groupBy("shard").applyInArrow(lambda table: decided(table), "batch int, rows binary, starts binary, ends binary")
-    return dealt.groupBy("batch").cogroup(spans.repartition(parts, "batch").groupBy("batch")).applyInArrow(lambda mine, spans: removed(mine, spans), f"id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>, carried {carried}")
+    return dealt.groupBy("batch").cogroup(spans.repartition(parts, "batch").groupBy("batch")).applyInArrow(lambda mine, spans: removed(mine, spans), f"shown string, id long, text binary, kept binary, n_removed long, n_spans long, starts array<long>, ends array<long>, carried {carried}")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -557,18 +558,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     found = repeated_spans(docs, id_col, text_col, length, gram, others)
-    text = F.when(F.col("n_removed") > 0, _decoded(F.col("text"), F.col("starts"), F.col("ends"))).otherwise(F.col("text").cast("string"))
+    text = F.when(F.col("n_removed") > 0, F.col("shown")).otherwise(F.col("text").cast("string"))
     out = {id_col: F.col("id").cast(docs.schema[id_col].dataType), text_col: text} | {c: F.col(f"carried.c{i}") for i, c in enumerate(others)}
     if "n_chars" in others:
         out["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
     return found.select(*[out[c].alias(c) for c in docs.columns])
-
-
-def _decoded(text, starts, ends):
-    """A pandas UDF call: the text without the spans, and without what is left of characters they cut."""
-
-    @F.pandas_udf("string")
-    def cut_out(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(bytes(t)[a:b] for a, b in zip([0, *e], [*s, len(t)], strict=True)).decode("utf-8", "ignore") for t, s, e in zip(texts, starts, ends, strict=True)])
-
-    return cut_out(text, starts, ends)

@@ -423,6 +423,27 @@ def test_components_of_long_chains(spark):
     assert {got[i] for i in range(301)} == {0} and got[1001] == 1000 and got[2000] == got[1800] == 1500 and got[305] == 301
 
 
+@pytest.mark.parametrize("n", [0, 1, 40, 400])
+def test_components_in_one_task(spark, n):
+    """Few edges are joined up in one task, with the result of the steps over the cluster, and without their many jobs."""
+    rng = random.Random(n)
+    edges = [(rng.randrange(300) * 10**12, rng.randrange(300) * 10**12) for _ in range(n)] + [(i, i + 1) for i in range(min(n, 60))]
+    given = spark.createDataFrame(edges, "a long, b long")
+    want = common.connected_components(given).distinct().collect()
+    spark.sparkContext.setJobGroup(f"alone-{n}", "")
+    got = common.connected_components(given, alone=1000).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"alone-{n}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == sorted(want) and jobs <= 12
+    assert sorted(common.connected_components(given, alone=max(0, n - 1)).distinct().collect()) == sorted(want)
+
+
+def test_repeats_are_cut_out_by_one_python_process_a_task(spark, docs):
+    """No second process beside that of the spans; an executor would keep both for the tasks that follow."""
+    plan = suffixes.without_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "ArrowEvalPython" not in plan
+
+
 def brute_repeats(rows, length=50):
     first: dict[bytes, int] = {}
     for i, t in rows:
